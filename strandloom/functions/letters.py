@@ -11,8 +11,8 @@ def letters(seq: Column) -> Column:
     return F.upper(F.regexp_replace(seq, "[^A-Za-z]", ""))
 
 
-def tiles(df: DataFrame, key: str, text: str, size: int, left: int, right: int) -> DataFrame:
-    """Cut texts into tiles (key, tile, base, text) of ``size`` starts.
+def tiles(df: DataFrame, key: str | list[str], text: str, size: int, left: int, right: int) -> DataFrame:
+    """Cut texts into tiles (key columns, tile, base, n, text) of ``size`` starts.
 
     Tile t owns the starts [t*size, (t+1)*size) and also carries ``left`` letters before and
     ``right`` letters after them; ``base`` is the position of its first letter, ``n`` the length
@@ -20,6 +20,7 @@ def tiles(df: DataFrame, key: str, text: str, size: int, left: int, right: int)
     string costs time in proportion to it.
     """
     big = size * 16
+    keys = [key] if isinstance(key, str) else key
 
     def cut(d: DataFrame, step: int, lo: Column, hi: Column, no: str) -> DataFrame:
         """Explode [lo, hi) by multiples of step; ``_at`` is the position of ``_t``'s first letter."""
@@ -30,7 +31,7 @@ def tiles(df: DataFrame, key: str, text: str, size: int, left: int, right: int)
             "_t", F.substring(F.col("_cut"), (F.col("_a") - F.col("_at") + 1).cast("int"), ((F.col(no) + 1) * step + right - F.col("_a")).cast("int"))
         ).withColumn("_at", F.col("_a")).drop("_cut", "_a")
 
-    d = df.select(F.col(key), F.col(text).alias("_t"), F.length(text).cast("long").alias("_n"), F.lit(0).cast("long").alias("_at")).where(F.col("_n") > 0)
+    d = df.select(*keys, F.col(text).alias("_t"), F.length(text).cast("long").alias("_n"), F.lit(0).cast("long").alias("_at")).where(F.col("_n") > 0)
     d = cut(d, big, F.lit(0), F.col("_n"), "_big")
     d = cut(d, size, F.col("_big") * big, F.least((F.col("_big") + 1) * big, F.col("_n")), "tile")
-    return d.select(key, F.col("tile"), F.col("_at").alias("base"), F.col("_n").alias("n"), F.col("_t").alias("text"))
+    return d.select(*keys, F.col("tile"), F.col("_at").alias("base"), F.col("_n").alias("n"), F.col("_t").alias("text"))

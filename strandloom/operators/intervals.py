@@ -86,3 +86,29 @@ def match_periods(matches: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     used = matches.where(F.col("strand").isin("+", "-")).select("sequence", "strand", "start", "end")
     return periods_and_gaps(used, ["sequence", "strand"], "start", "end", block)
+
+
+def islands(df: DataFrame, keys: list[str], start: str, end: str, block: int = BLOCK) -> DataFrame:
+    """The rows of ``df`` with ``island``, the start of the run of overlapping intervals that a row lies in.
+
+    Touching intervals begin a new island; rows with a null key, start or end have a null island.  Running maxima are
+    taken within blocks of positions and carried from block to block, so that a hot key is spread over tasks.
+    """
+    s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    valid = s.isNotNull() & e.isNotNull()
+    for c in keys:
+        valid = valid & F.col(c).isNotNull()
+    d = df.where(valid).withColumn("_b", _block(s, block))
+    by = [*keys, "_b"]
+    local = W.partitionBy(*by).orderBy(F.col(start), F.col(end)).rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("_before", F.max(e).over(local))
+    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    reach = d.groupBy(*by).agg(F.max(e).alias("_m")).withColumn("_reach", F.max("_m").over(earlier)).drop("_m")
+    d = d.join(reach, by).withColumn("_before", F.greatest("_before", "_reach"))
+    d = d.withColumn("_new", F.when(F.col("_before").isNull() | (s >= F.col("_before")), s))
+    # Equal rows of one start: only the first of them can begin an island.
+    last = d.groupBy(*by).agg(F.max("_new").alias("_m")).withColumn("_carried", F.max("_m").over(earlier)).drop("_m")
+    upto = W.partitionBy(*by).orderBy(F.col(start), F.col(end)).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_own", F.max("_new").over(upto)).join(last, by).withColumn("island", F.coalesce("_own", "_carried"))
+    d = d.drop("_b", "_before", "_reach", "_new", "_own", "_carried")
+    return d.unionByName(df.where(~valid | valid.isNull()).withColumn("island", F.lit(None).cast("long")))
