@@ -79,7 +79,7 @@ def translate(seq: Column, table: int = 1, frame: int = 0, to_stop: bool = False
     triplets = F.regexp_extract_all(s, F.lit("(?s)..."), F.lit(0))
     table_of = codons(table)
     # Codons of plain letters, nearly all there are, are looked up by place in a string; the others in the map.
-    place = lambda c, p: F.locate(F.substring(c, p, 1), F.lit("TCAG")) - 1
+    place = lambda c, p: F.instr(F.lit("TCAG"), F.substring(c, p, 1)) - 1
     plain = lambda c: F.substring(F.lit("".join(table_of.values())), (16 * place(c, F.lit(1)) + 4 * place(c, F.lit(2)) + place(c, F.lit(3)) + 1), F.lit(1))
     other = lambda c: F.coalesce(F.try_element_at(_codon_map(table), c), F.lit("X"))
     amino = F.array_join(F.transform(triplets, lambda c: F.when(F.translate(c, "ACGT", "") == "", plain(c)).otherwise(other(c))), "")

@@ -88,3 +88,19 @@ def elided(text: Column, most: int = 60) -> Column:
     """A long text with its middle left out."""
     head = (most - 1) // 2 + (most - 1) % 2
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(head)), F.lit("…"), F.right(text, F.lit(most - 1 - head)))).otherwise(text)
+
+
+def band_join(first: DataFrame, second: DataFrame, by: list[str], least: int, most: int) -> DataFrame:
+    """(by, start, end, gap): hits with one of the other kind ``least`` to ``most`` positions behind their end, and the widest such gap.
+
+    An equi-join on bins as wide as the band: each end meets the two bins its band can reach into.  Rows with nulls in
+    the columns used are left out, repeated rows count once.
+    """
+    width = max(most - least + 1, 1)
+    cell = lambda c: ((c - F.pmod(c, F.lit(width))) / width).cast("long")
+    a = first.select(*by, "start", "end").dropna().distinct()
+    b = second.select(*by, F.col("start").alias("_s")).dropna().distinct().withColumn("_c", cell(F.col("_s")))
+    low = cell(F.col("end") + least)
+    a = a.withColumn("_c", F.explode(F.array(low, low + 1)))
+    near = a.join(b, [*by, "_c"]).where((F.col("_s") - F.col("end")).between(least, most))
+    return near.groupBy(*by, "start", "end").agg(F.max(F.col("_s") - F.col("end")).alias("gap"))
