@@ -106,9 +106,9 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, block: int = B
     reach = d.groupBy(*by).agg(F.max(e).alias("_m")).withColumn("_reach", F.max("_m").over(earlier)).drop("_m")
     d = d.join(reach, by).withColumn("_before", F.greatest("_before", "_reach"))
     d = d.withColumn("_new", F.when(F.col("_before").isNull() | (s >= F.col("_before")), s))
-    # Equal rows of one start: only the first of them can begin an island.
+    # Of rows with one start only the first begins an island; all of them lie in it.
     last = d.groupBy(*by).agg(F.max("_new").alias("_m")).withColumn("_carried", F.max("_m").over(earlier)).drop("_m")
-    upto = W.partitionBy(*by).orderBy(F.col(start), F.col(end)).rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*by).orderBy(s).rangeBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("_own", F.max("_new").over(upto)).join(last, by).withColumn("island", F.coalesce("_own", "_carried"))
     d = d.drop("_b", "_before", "_reach", "_new", "_own", "_carried")
     return d.unionByName(df.where(~valid | valid.isNull()).withColumn("island", F.lit(None).cast("long")))
