@@ -26,35 +26,38 @@ BLOCK, SALTS = 20_000, 64
 def _fixed_pairs(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
     """Martello and Toth's reduction: sets of up to two items that dominate, and the indexes left.
 
-    ``sizes`` is descending.  The largest item j goes with the largest k that fits beside it if the two
-    fill the container, if no third item could join them, or if k is at least as large as any two items that fit beside j.
+    ``sizes`` is descending.  Item j goes with the largest other item k that fits beside it if the two fill the
+    container or if no two others fit beside j; it goes alone if none does.  Items that are left stay partners of later ones.
     """
-    alive: dict[int, list[int]] = defaultdict(list)
+    pool: dict[int, list[int]] = defaultdict(list)
     for i, s in enumerate(sizes):
-        alive[s].append(i)
-    order = sorted(alive)  # sizes that still have items
+        pool[s].append(i)
+    order = sorted(pool)  # sizes of which there are items
 
     def take(s: int) -> int:
-        i = alive[s].pop()
-        if not alive[s]:
+        i = pool[s].pop()
+        if not pool[s]:
             del order[bisect.bisect_left(order, s)]
         return i
 
-    fixed, left = [], []
-    while order:
-        big = order[-1]
-        j, room = take(big), capacity - big
-        at = bisect.bisect_right(order, room) - 1
-        if at < 0:
-            fixed.append([j])
-            continue
-        k, low = order[at], order[0]
-        second = low if len(alive[low]) > 1 else order[1] if len(order) > 1 else room + 1
-        if k == room or low + second > room:
+    fixed = []
+    for big in reversed(list(order)):
+        room = capacity - big
+        while pool[big]:
+            j = take(big)
+            at = bisect.bisect_right(order, room) - 1
+            if at < 0:
+                fixed.append([j])
+                continue
+            k, low = order[at], order[0]
+            second = low if len(pool[low]) > 1 else order[1] if len(order) > 1 else room + 1
+            if k != room and low + second <= room:
+                if not pool[big]:
+                    bisect.insort(order, big)
+                pool[big].append(j)
+                break  # items of one size fare alike
             fixed.append([j, take(k)])
-        else:
-            left.append(j)
-    return fixed, left
+    return fixed, [i for s in reversed(order) for i in pool[s]]
 
 
 def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -121,8 +124,8 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", block: int =
     rest = items.where(~alone)
     rank = F.row_number().over(W.partitionBy("pack", "_size", "_salt").orderBy("_id", "piece")) - 1
     ranked = rest.where(F.col("_size") > 0).withColumn("_rank", rank)
-    # Both tables have at most capacity * salts rows a pack, whatever the corpus.
-    ranked = ranked.join(F.broadcast(base), ["pack", "_size", "_salt"]).join(F.broadcast(partners), ["pack", "_size"], "left")
+    # Ranked rows are already partitioned by what they are joined on; partners has at most ``capacity`` rows a pack, whatever the corpus.
+    ranked = ranked.join(base, ["pack", "_size", "_salt"]).join(F.broadcast(partners), ["pack", "_size"], "left")
     place = F.col("_rank") + F.col("_base")
     half = 2 * F.col("_size") == F.col("capacity")
     pair = F.when(half, F.floor(place / 2)).otherwise(place)
