@@ -138,7 +138,7 @@ def newest_versions(library: DataFrame) -> DataFrame:
 
 def check_examples(library: DataFrame) -> DataFrame:
     """(name, hits, matched) of every usable motif with an example: whether its own example contains it."""
-    good, _ = usable_motifs(library.withColumn("scan", F.lit(True)))
+    good, _ = usable_motifs(library.withColumn("scan", F.lit(True)), enzymes=True)
     shown = library.where(F.coalesce("example", F.lit("")) != "")
     kind = F.when(F.lower("alphabet") == "protein", "protein").otherwise(F.coalesce("alphabet", F.lit("dna")))
     as_records = shown.select(F.col("name").alias("record_id"), "name", kind.alias("type"), F.lit(0).alias("offset"), F.col("example").alias("seq"))

@@ -127,12 +127,13 @@ def first_hits(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("_rank", rank).where(F.col("_rank") <= max(limit, 1)).drop("_rank")
 
 
-def usable_motifs(library: DataFrame, most: int = 10_000) -> tuple[list[tuple[str, str, str | None]], list[tuple[str, str]]]:
+def usable_motifs(library: DataFrame, most: int = 10_000, enzymes: bool = False) -> tuple[list[tuple[str, str, str | None]], list[tuple[str, str]]]:
     """Motifs of a library that take part in scans, in name order, and those that cannot be read with the reason.
 
-    Left out are entries with scan false or of category restriction.  The library is a dimension: more than ``most`` entries raise an error.
+    Left out are entries with scan false and, unless ``enzymes`` is set, those of category restriction.  The library is a dimension: more than ``most`` entries raise an error.
     """
-    rows = library.where(F.coalesce("scan", F.lit(True)) & (F.lower(F.coalesce("category", F.lit(""))) != "restriction") & F.col("name").isNotNull() & F.col("expr").isNotNull())
+    kept = F.lit(enzymes) | (F.lower(F.coalesce("category", F.lit(""))) != "restriction")
+    rows = library.where(F.coalesce("scan", F.lit(True)) & kept & F.col("name").isNotNull() & F.col("expr").isNotNull())
     rows = rows.select("name", "expr", "alphabet").orderBy("name").limit(most + 1).collect()
     if len(rows) > most:
         raise MotifError(f"the library has more than {most} motifs")
