@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.letters import letters, tiles
 from ..operators.intervals import merge_intervals
+from ..session import written
 
 TILE = 1 << 15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -142,7 +143,8 @@ def shared_spans(records: DataFrame, length: int = 100, tile: int = TILE, block:
     # A surrounding reaches half a window to the left of a tile's starts and 1.5 windows to the right.
     own = records.where(F.col("record_id").isNotNull()).select(F.col("record_id").cast("long").alias("_id"), letters(F.col("seq")).alias("_s"))
     cut = tiles(own.where(F.length("_s") >= length), "_id", "_s", tile, length, 3 * length)
-    anchors = cut.mapInArrow(_anchors(length, tile), "_id long, _h long, _c long, _c2 long, _lo long, _w int")
+    # Written down once: a twentieth of the letters, used by every level.
+    anchors = written(cut.mapInArrow(_anchors(length, tile), "_id long, _h long, _c long, _c2 long, _lo long, _w int"), "span-anchors")
     # Level one: one row for each distinct surrounding of a half-length window.
     rep = F.min(F.struct("_id", "_lo"))
     around = anchors.groupBy("_h", "_c", "_c2", "_w").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max"), rep.alias("_rep"))
