@@ -29,28 +29,32 @@ from ..operators.intervals import merge_intervals
 from ..session import written
 
 TILE = 1 << 15
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd multipliers of the two independent hashes.
+_K = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)))
+_M = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+def _join(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of two words each."""
+    x = a * _K[lane][0]
+    x += b * _K[lane][1]
+    x ^= x >> np.uint64(32)
+    x *= _M
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix(a * np.uint64(0x9E3779B97F4A7C15) + _mix(b + np.uint64(0xD1B54A32D192ED03)))
-
-
-def _windows(one: np.ndarray, wanted: list[int]) -> dict[int, np.ndarray]:
-    """Hashes of all windows of the wanted lengths, from hashes of single letters, by doubling."""
-    out, power, w = {}, one, 1
+def _windows(text: str, wanted: list[int], lane: int = 0) -> dict[int, np.ndarray]:
+    """Hashes of all windows of the wanted lengths, by doubling; up to eight letters of five bits are held as they are."""
+    power = np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint64) & np.uint64(31)
+    out, w, size = {}, 1, len(power)
     for length in sorted(wanted):
         while 2 * w <= length:
-            power, w = _join(power[: max(0, len(power) - w)], power[w:]), 2 * w
-        n = max(0, len(one) - length + 1)
-        out[length] = power[:n] if w == length else _join(power[:n], power[length - w : length - w + n])
+            left, right = power[: max(0, len(power) - w)], power[w:]
+            power = (left << np.uint64(5 * w)) | right if w < 8 else _join(left, right, lane)
+            w *= 2
+        n = max(0, size - length + 1)
+        out[length] = _join(power[:n], power[length - w : length - w + n], lane)
     return out
 
 
@@ -79,10 +83,6 @@ def _minima(h: np.ndarray, width: int) -> np.ndarray:
     return at[~same_left | last | (run % width == 0)]
 
 
-def _letter_hashes(text: str, lane: int) -> np.ndarray:
-    return _mix(np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint64) + np.uint64(1 + 1000 * lane))
-
-
 def _anchors(length: int, tile: int):
     """Tiles -> anchors: half-length hash, hash of the surrounding, first window and number of windows in it."""
     half = length // 2
@@ -96,15 +96,13 @@ def _anchors(length: int, tile: int):
                 stop = min(own + tile, n - length + 1 - base)  # behind the last own start of a full window
                 if stop <= own:
                     continue
-                one = _letter_hashes(text, 0)
-                two = _windows(_letter_hashes(text, 1), [length])[length]
-                h = _windows(one, [half, length])
+                h, two = _windows(text, [half, length]), _windows(text, [length], 1)[length]
                 at = own + _minima(h[half][own : stop + width - 1], width)
                 lo, hi = np.maximum(at - (width - 1), max(0, -base)), np.minimum(at, len(h[length]) - 1)
                 lo = np.maximum(lo, 0)
                 size = (hi - lo + 1).astype(np.uint64)
                 around = _join(_join(h[length][lo], h[length][hi]), size)
-                again = _join(_join(two[lo], two[hi]), size)
+                again = _join(_join(two[lo], two[hi], 1), size, 1)
                 found.append((np.full(len(at), key, np.int64), h[half][at].view(np.int64), around.view(np.int64), again.view(np.int64), lo + base, size.astype(np.int32)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["_id", "_h", "_c", "_c2", "_lo", "_w"])
@@ -118,7 +116,7 @@ def _unrolled(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, text, items in zip(*(c.to_pylist() for c in batch.columns)):
-                h1, h2 = _windows(_letter_hashes(text, 0), [length])[length], _windows(_letter_hashes(text, 1), [length])[length]
+                h1, h2 = _windows(text, [length])[length], _windows(text, [length], 1)[length]
                 size = np.array([x["_w"] for x in items], np.int64)
                 lo = np.array([x["_lo"] for x in items], np.int64) - base
                 rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
