@@ -102,6 +102,18 @@ def verdict(observed: Column, expected: Column, empirical_p: Column, trials: Col
     )
 
 
+def explanation(observed: Column, expected: Column, low: Column, high: Column, empirical_p: Column, trials: Column) -> Column:
+    """The comparison with the background in a sentence; null without a background."""
+    number = lambda c: F.format_number(c, 1)
+    base = F.concat(trials.cast("string"), F.lit(" simulated sequences gave "), number(expected), F.lit(" on average (90% between "), low.cast("string"), F.lit(" and "), high.cast("string"), F.lit(")"))
+    word = verdict(observed, expected, empirical_p, trials)
+    said = (
+        F.when(word == "none", F.when(expected < 0.5, "none was found, and hardly any was expected: ").otherwise("none was found although chance gives some: "))
+        .when(word == "strong", "clearly more than chance gives: ").when(word == "some", "somewhat more than chance gives: ").otherwise("about what chance gives, or less: ")
+    )
+    return F.concat(observed.cast("string"), F.lit(" found, "), said, base, F.lit("."))
+
+
 def calibrated_thresholds(scores: DataFrame, rate: float = 1e-4) -> DataFrame:
     """(motif, scores, threshold, achieved): the exact quantile of each motif's scores that lets a share of ``rate`` pass.
 

@@ -104,3 +104,32 @@ def band_join(first: DataFrame, second: DataFrame, by: list[str], least: int, mo
     a = a.withColumn("_c", F.explode(F.array(low, low + 1)))
     near = a.join(b, [*by, "_c"]).where((F.col("_s") - F.col("end")).between(least, most))
     return near.groupBy(*by, "start", "end").agg(F.max(F.col("_s") - F.col("end")).alias("gap"))
+
+
+def clusters(hits: DataFrame, by: list[str], width: int = 60) -> DataFrame:
+    """(by, strand, block, start, end, motif, more): overlapping hits of one strand within each block of ``width`` positions, as one.
+
+    A cluster is named by its widest hit (of equally wide ones the first, then the first name); ``more`` counts the others.
+    Hits are cut at the block's borders before they are compared.
+    """
+    used = hits.where(F.col("strand").isin("+", "-") & (F.col("start") < F.col("end")) & F.col("motif").isNotNull()).dropna(subset=by)
+    d = used.select(*by, "strand", "motif", F.col("start").alias("_a"), F.col("end").alias("_z"), F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("block"))
+    d = d.withColumn("_s", F.greatest("_a", F.col("block") * width)).withColumn("_e", F.least("_z", (F.col("block") + 1) * width))
+    keys = [*by, "strand", "block"]
+    d = islands(d, keys, "_s", "_e")
+    widest = F.min(F.struct((F.col("_a") - F.col("_z")).alias("w"), F.col("_a").alias("a"), F.col("motif").alias("m")))
+    found = d.groupBy(*keys, "island").agg(F.max("_e").alias("end"), widest.alias("_x"), (F.count(F.lit(1)) - 1).alias("more"))
+    return found.select(*keys, F.col("island").alias("start"), "end", F.col("_x.m").alias("motif"), "more")
+
+
+def overlapping_any(hits: DataFrame, others: DataFrame, by: list[str], width: int = 256) -> DataFrame:
+    """The distinct rows of ``hits`` that share a position with any of ``others`` of the same entity.
+
+    The others are merged into disjoint periods first, so no pairs are formed: a bin of ``width`` positions never holds
+    more than ``width`` periods.  Columns of ``hits`` must be of types that can be grouped by.
+    """
+    bins = lambda a, z: F.explode(F.sequence(F.expr(f"{a} div {width}"), F.expr(f"({z} - 1) div {width}")))
+    periods = merge_intervals(others, by, "start", "end").withColumn("_c", bins("from_pos", "to_pos"))
+    cut = hits.where(F.col("start") < F.col("end")).distinct().withColumn("_c", bins("start", "end"))
+    meet = (F.col("start") < F.col("to_pos")) & (F.col("from_pos") < F.col("end"))
+    return cut.join(periods, [*by, "_c"]).where(meet).select(*hits.columns).distinct()

@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..alphabet import reverse_complement
 from ..functions.letters import letters, tiles
 from ..functions.sequence import guess_type, normalize
-from ..lang.kernels import matcher
+from ..lang.kernels import matcher, regex
 from ..lang.motif import MotifError, motif, show, span
 
 TILE = 1 << 15
@@ -127,6 +127,18 @@ def first_hits(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("_rank", rank).where(F.col("_rank") <= max(limit, 1)).drop("_rank")
 
 
+def full_match(text: Column, source: str, nuc: bool = True) -> Column:
+    """Whether a regular motif can take up a text as a whole; null for a null text.
+
+    Runs as one pattern in the JVM. Motifs that aren't regular raise MotifError.
+    """
+    pattern = regex(motif(source), nuc, r"\A", r"\z")
+    if pattern is None:
+        raise MotifError("only regular motifs can be matched as a whole")
+    prepared = F.translate(F.upper(text), "U", "T") if nuc else F.upper(text)
+    return prepared.rlike(rf"\A(?:{pattern})\z")
+
+
 def usable_motifs(library: DataFrame, most: int = 10_000, enzymes: bool = False) -> tuple[list[tuple[str, str, str | None]], list[tuple[str, str]]]:
     """Motifs of a library that take part in scans, in name order, and those that cannot be read with the reason.
 

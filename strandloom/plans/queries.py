@@ -18,9 +18,9 @@ from ..operators import library as lib
 from ..operators import orfs as frames
 from ..operators import pwm
 from ..operators.background import calibrated_thresholds
-from ..operators.hits import band_join, collapse, count_places, coverage, non_overlapping, summary
+from ..operators.hits import band_join, clusters, collapse, count_places, coverage, elided, non_overlapping, overlapping_any, summary
 from ..operators.intervals import match_periods
-from ..operators.search import absolute, first_hits, scan, search, usable_motifs
+from ..operators.search import absolute, first_hits, full_match, scan, search, usable_motifs
 from ..sources import export, text
 from ..streaming.hits import run_to_table, stream_of, windowed_counts
 from ..tables import table
@@ -689,3 +689,54 @@ def record_totals(spark: SparkSession, d: str) -> DataFrame:
     kind = F.coalesce(F.col("type"), seqs.guess_type(F.col("seq")))
     r = _records(spark, d).select(kind.alias("type"), F.length(letters(F.col("seq"))).alias("n")).where(F.col("n") > 0)
     return r.groupBy("type").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("letters"))
+
+
+# ---------------------------------------------------------------- further views
+
+
+@query("full_match", """select match_id, regexp_full_match(replace(upper("match"), 'U', 'T'), 'ATC[\\s\\S]{2,7}TGAC') as whole from motif_matches where motif = 'loba-element'""")
+def whole_match(spark: SparkSession, d: str) -> DataFrame:
+    """Which reported texts their motif takes up as a whole."""
+    m = table(spark, d, "motif_matches").where(F.col("motif") == "loba-element")
+    return m.select("match_id", full_match(F.col("match"), '(seq "ATC" (gap 2 7) "TGAC")').alias("whole"))
+
+
+@query(
+    "hit_clusters",
+    f"""with {_MATCHES}, b as (select *, unnest(range(s // 60, (e - 1) // 60 + 1)) block from ok), c as (select *, greatest(s, block * 60) a, least(e, (block + 1) * 60) z from b),
+        m as (select *, max(z) over (partition by sequence, strand, block order by a, z, s, e, motif rows between unbounded preceding and 1 preceding) p from c),
+        g as (select *, sum(case when p is null or a >= p then 1 else 0 end) over (partition by sequence, strand, block order by a, z, s, e, motif rows unbounded preceding) n from m)
+        select sequence, strand, block, min(a) as "start", max(z) as "end", min(struct_pack(w := s - e, s := s, m := motif)).m as motif, count(*) - 1 as more from g group by sequence, strand, block, n""",
+)
+def hit_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters(_good_matches(spark, d), ["sequence"])
+
+
+@query(
+    "overlapping_hits",
+    f"""with {_MATCHES}, a as (select distinct sequence, motif, strand, s, e from ok where motif like '%-box'), b as (select distinct sequence, s, e from ok where motif like '%-site')
+        select sequence, motif, strand, s as "start", e as "end" from a where exists (select 1 from b where b.sequence = a.sequence and b.s < a.e and a.s < b.e)""",
+)
+def overlapping_hits(spark: SparkSession, d: str) -> DataFrame:
+    m = _good_matches(spark, d).select("sequence", "motif", "strand", "start", "end")
+    return overlapping_any(m.where(F.col("motif").endswith("-box")), m.where(F.col("motif").endswith("-site")), ["sequence"])
+
+
+@query("elided_matches", """select match_id, case when length("match") > 60 then left("match", 30) || '…' || right("match", 29) else "match" end as shown from motif_matches""")
+def elided_matches(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "motif_matches").select("match_id", elided(F.col("match")).alias("shown"))
+
+
+@query("salvaged_replies", "select name, trim(expr) as motif, coalesce(trim(doc), '') as explanation from motif_library where expr is not null")
+def salvaged_replies(spark: SparkSession, d: str) -> DataFrame:
+    """JSON objects found in the middle of other text."""
+    lib_ = table(spark, d, "motif_library").where(F.col("expr").isNotNull())
+    reply = F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.col("expr").alias("motif"), F.col("doc").alias("explanation"), F.array("category", F.lit(" ")).alias("assumptions"))), F.lit(" Done."))
+    x = ids.salvaged_reply(reply)
+    return lib_.select("name", x["motif"].alias("motif"), x["explanation"].alias("explanation"))
+
+
+@query("explained_background")
+def explained_background(spark: SparkSession, d: str) -> DataFrame:
+    b = chance.background(dig.nucleic(_records(spark, d)), '(seq "GGA" (gap 2 10) "GGGC")')
+    return b.select("record_id", chance.explanation(*[F.col(c) for c in ("observed", "expected", "low", "high", "empirical_p", "trials")]).alias("said"))
