@@ -46,7 +46,17 @@ def codons_with_codes(table: int) -> dict[str, str]:
     return found
 
 
+class _Table(dict):
+    """A table for str.translate that gives N for whatever it lacks."""
+
+    def __missing__(self, key: int) -> str:
+        return "N"
+
+
+_DNA = _Table({ord(k): v for k, v in COMPLEMENT.items()})
+_RNA = _Table({**_DNA, ord("A"): "U"})
+
+
 def reverse_complement(text: str) -> str:
     """Of upper-case text; letters without a complement become N. RNA (U and no T) keeps U."""
-    pairs = COMPLEMENT | ({"A": "U"} if "U" in text and "T" not in text else {})
-    return "".join(pairs.get(c, "N") for c in reversed(text))
+    return text[::-1].translate(_RNA if "U" in text and "T" not in text else _DNA)

@@ -322,7 +322,7 @@ def _steps(node, nuc: bool):
 
     def fixed(text, i, bound, first, last):
         if i + len(allowed) <= len(text):
-            wrong = sum(a is not None and (c in a) == negated for a, c in zip(allowed, text[i:]))
+            wrong = sum(a is not None and (c in a) == negated for a, c in zip(allowed, text[i : i + len(allowed)]))
             if wrong <= (node.k if fuzzy else 0):
                 yield i + len(allowed), bound | {"$mismatches": bound.get("$mismatches", 0) + wrong} if fuzzy else bound
 
@@ -385,19 +385,43 @@ class Matcher:
         else:
             yield from self.general(text, first, last)
 
+    @property
+    def joinable(self) -> bool:
+        """Whether texts may be searched end to end: nothing in the motif sees the borders of its text."""
+        return not self.anchored and not _has(self.node, Pattern)
+
+    def hits_of_many(self, texts: list[str]) -> Iterator[tuple[int, Hit]]:
+        """(text, hit) of several texts in one go.
+
+        They are searched end to end; a match that runs over a border may hide a later alternative that doesn't, so its start is tried again in its own text.
+        """
+        joined = "\0".join(texts)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts]).tolist()
+        k = 0
+        for i, j, numbers, bound in self.hits(joined):
+            while i >= begins[k + 1]:
+                k += 1
+            start = begins[k]
+            if j < begins[k + 1]:
+                yield k, (i - start, j - start, numbers, [(x, a - start, b - start) for x, a, b in bound])
+            elif i - start < len(texts[k]):
+                yield from ((k, hit) for hit in self.general(texts[k], 0, len(texts[k]), only=i - start))
+
     def end_at(self, text: str, i: int, first: int, last: int) -> int | None:
         """Where the first match at one start ends."""
         return next((j for _, j, _, _ in self.general(text, first, last, only=i)), None)
 
 
-def _anchored(node) -> bool:
-    if isinstance(node, Edge):
+def _has(node, kind: type) -> bool:
+    """Whether a node of a kind is part of a motif."""
+    if isinstance(node, kind):
         return True
-    if isinstance(node, (Seq, Alt)):
-        return any(map(_anchored, node.parts))
-    if isinstance(node, Hairpin):
-        return _anchored(node.loop)
-    return isinstance(node, (Rep, Named, Fuzzy)) and _anchored(node.inner)
+    inner = getattr(node, "parts", None) or [x for x in (getattr(node, "inner", None), getattr(node, "loop", None)) if x is not None]
+    return any(_has(x, kind) for x in inner)
+
+
+def _anchored(node) -> bool:
+    return _has(node, Edge)
 
 
 @lru_cache(maxsize=4096)

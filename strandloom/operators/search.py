@@ -2,7 +2,7 @@
 
 Records are cut into tiles with a margin as wide as the widest match, so that a match
 belongs to exactly one tile, no matter how long the record is.  Each tile is read once for
-all motifs.  Nothing is shuffled: a reverse hit that repeats a palindrome's forward hit
+all motifs, many short ones end to end.  Hits are not shuffled: a reverse hit that repeats a palindrome's forward hit
 is recognised inside the tile.
 """
 
@@ -32,50 +32,96 @@ _BIND = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end
 _EXTRA = pa.map_(pa.string(), pa.float64())
 
 
+#: From so many motifs on tiles are spread over the shuffle partitions: a scan works long on little text.
+MANY = 8
+#: Letters of tiles that are searched in one go.
+TOGETHER = 1 << 19
+
+
 def _scanner(motifs: list[tuple[str, str, str | None]], size: int | None, strand: str):
     """Tiles -> hits of all motifs whose alphabet fits; positions are forward and without the record's offset."""
 
-    def of_tile(base: int, no: int, n: int, text: str, kind: str) -> Iterator[tuple]:
-        nuc = kind in ("dna", "rna")
-        own_from, own_to = (0, n + 1) if size is None else (no * size, (no + 1) * size)
-        back = reverse_complement(text) if nuc else ""
+    def owned(tile: tuple, at: int) -> bool:
+        return size is None or tile[4] * size <= at < (tile[4] + 1) * size
+
+    def forward(tile: tuple, hit: tuple) -> tuple | None:
+        base, text = tile[5], tile[7]
+        i, j, numbers, bound = hit
+        if owned(tile, base + i):
+            return base + i, base + j, "+", text[i:j], numbers, [(x, base + a, base + b, text[a:b]) for x, a, b in bound]
+        return None
+
+    def reverse(m, tile: tuple, back: str, hit: tuple) -> tuple | None:
+        base, n, text = tile[5:8]
+        i, j, numbers, bound = hit
+        a, b, found, size_here = len(text) - j, len(text) - i, back[i:j], len(text)
+        # A reverse hit belongs to the tile of its last forward letter.
+        if not owned(tile, base + b - 1) or (strand == "both" and found == text[a:b] and m.end_at(text, a, -base, n - base) == b):
+            return None
+        return base + a, base + b, "-", found, numbers, [(x, base + size_here - q, base + size_here - p, back[p:q]) for x, p, q in bound]
+
+    def of_tiles(tiles_: list[tuple], nuc: bool) -> Iterator[tuple]:
+        """(tile, motif, hit) of tiles of one alphabet."""
+        texts = [t[7] for t in tiles_]
+        backs = [reverse_complement(t) for t in texts] if nuc and strand != "+" else []
         for name, source, alphabet in motifs:
             if alphabet and (alphabet == "protein") == nuc:
                 continue
             m = matcher(source, nuc)
             if not nuc or strand in ("+", "both"):
-                for i, j, numbers, bound in m.hits(text, -base, n - base):
-                    if own_from <= base + i < own_to:
-                        yield name, base + i, base + j, "+", text[i:j], numbers, [(x, base + a, base + b, text[a:b]) for x, a, b in bound]
-            if nuc and strand in ("-", "both"):
-                size_here = len(text)
-                # Strand-local 0 is the record's end; a reverse hit belongs to the tile of its last forward letter.
-                for i, j, numbers, bound in m.hits(back, base + size_here - n, base + size_here):
-                    a, b, found = size_here - j, size_here - i, back[i:j]
-                    if not own_from <= base + b - 1 < own_to:
-                        continue
-                    if strand == "both" and found == text[a:b] and m.end_at(text, a, -base, n - base) == b:
-                        continue
-                    yield name, base + a, base + b, "-", found, numbers, [(x, base + size_here - q, base + size_here - p, back[p:q]) for x, p, q in bound]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                each = m.hits_of_many(texts) if m.joinable else ((k, h) for k, t in enumerate(tiles_) for h in m.hits(t[7], -t[5], t[6] - t[5]))
+                for k, hit in each:
+                    if row := forward(tiles_[k], hit):
+                        yield tiles_[k], name, row
+            if backs:
+                # Strand-local 0 is the record's end.
+                each = m.hits_of_many(backs) if m.joinable else ((k, h) for k, t in enumerate(tiles_) for h in m.hits(backs[k], t[5] + len(t[7]) - t[6], t[5] + len(t[7])))
+                for k, hit in each:
+                    if row := reverse(m, tiles_[k], backs[k], hit):
+                        yield tiles_[k], name, row
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], bool, pa.DataType]]:
+        """Tiles of one alphabet up to a bounded number of letters."""
+        waiting: dict[bool, list[tuple]] = {True: [], False: []}
+        letters_of = {True: 0, False: 0}
+        kind = pa.null()
         for batch in batches:
-            schema = batch.schema
+            kind = batch.schema.field(0).type
             for row in range(batch.num_rows):
-                # One tile at a time: a batch of long tiles would not fit beside its hits.
-                key, name, offset, kind, no, base, n, text = (c[row].as_py() for c in batch.columns)
-                hits = list(of_tile(base, no, n, text, kind))
-                for part in (hits[i : i + 20_000] for i in range(0, len(hits), 20_000)):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([key] * len(part), schema.field(0).type), pa.array([name] * len(part), pa.string()), pa.array([offset] * len(part), pa.int64()),
-                            *(pa.array([h[k] for h in part], t) for k, t in enumerate([pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])),
-                            pa.array([h[5].get("score") for h in part], pa.float64()),
-                            pa.array([[(k, float(v)) for k, v in h[5].items() if k != "score"] for h in part], _EXTRA),
-                            pa.array([[dict(zip(("label", "start", "end", "text"), b)) for b in h[6]] for h in part], _BIND),
-                        ],
-                        names=["record_id", "sequence", "offset", "motif", "start", "end", "strand", "match", "score", "extra", "bindings"],
-                    )
+                tile = tuple(c[row].as_py() for c in batch.columns)
+                nuc = tile[3] in ("dna", "rna")
+                waiting[nuc].append(tile)
+                letters_of[nuc] += len(tile[7])
+                if letters_of[nuc] >= TOGETHER:
+                    yield waiting[nuc], nuc, kind
+                    waiting[nuc], letters_of[nuc] = [], 0
+        for nuc, rest in waiting.items():
+            if rest:
+                yield rest, nuc, kind
+
+    def packed(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        tile, name, hit = zip(*rows)
+        column = lambda k, t: pa.array([h[k] for h in hit], t)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([t[0] for t in tile], kind), pa.array([t[1] for t in tile], pa.string()), pa.array([t[2] for t in tile], pa.int64()), pa.array(name, pa.string()),
+                column(0, pa.int64()), column(1, pa.int64()), column(2, pa.string()), column(3, pa.string()), pa.array([h[4].get("score") for h in hit], pa.float64()),
+                pa.array([[(k, float(v)) for k, v in h[4].items() if k != "score"] for h in hit], _EXTRA),
+                pa.array([[dict(zip(("label", "start", "end", "text"), b)) for b in h[5]] for h in hit], _BIND),
+            ],
+            names=["record_id", "sequence", "offset", "motif", "start", "end", "strand", "match", "score", "extra", "bindings"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, nuc, kind in together(batches):
+            rows: list[tuple] = []
+            for row in of_tiles(some, nuc):
+                rows.append(row)
+                if len(rows) == 20_000:
+                    yield packed(rows, kind)
+                    rows = []
+            if rows:
+                yield packed(rows, kind)
 
     return run
 
@@ -109,6 +155,9 @@ def search(records: DataFrame, motifs: list[tuple[str, str]] | list[tuple[str, s
                 whole = r.where(F.length("_t") > 0)
                 cut = whole.select("*", F.lit(0).cast("long").alias("tile"), F.lit(0).cast("long").alias("base"), F.length("_t").cast("long").alias("n"), F.col("_t").alias("text"))
             cut = cut.select("record_id", "_name", "_offset", "_kind", "tile", "base", "n", "text")
+            if len(some) > MANY:
+                parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                cut = cut.repartition(parts, "record_id", "tile")
             found = cut.mapInArrow(_scanner(some, size, strand), schema)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else records.sparkSession.createDataFrame([], schema)

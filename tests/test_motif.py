@@ -117,3 +117,16 @@ def test_fast_ways_equal_backtracking():
 def test_reverse_complement():
     assert reverse_complement("AACGTN-R") == "Y-NACGTT"
     assert reverse_complement("AAUU") == "AAUU"
+
+
+def test_texts_end_to_end_equal_texts_alone():
+    draw = random.Random(12)
+    tried = 0
+    while tried < 1500:
+        m = matcher(random_motif(draw), draw.random() < 0.8)
+        if not m.joinable:
+            continue
+        tried += 1
+        texts = ["".join(draw.choice("ACGTN") for _ in range(draw.randint(0, 14))) for _ in range(draw.randint(1, 6))]
+        together = [(k, h[:3], sorted(h[3])) for k, h in m.hits_of_many(texts)]
+        assert together == [(k, h[:3], sorted(h[3])) for k, t in enumerate(texts) for h in m.general(t, 0, len(t))]
