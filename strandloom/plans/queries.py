@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..alphabet import STARTS
+from ..alphabet import IUPAC, STARTS
 from ..functions import identifiers as ids
 from ..functions import sequence as seqs
 from ..functions.letters import letters
@@ -137,7 +137,15 @@ def translate_t11_orf(spark: SparkSession, d: str) -> DataFrame:
     return _translated(spark, d, table=11, to_stop=True, start_as_met=True)
 
 
-@query("expand_iupac")
+_CODES = ", ".join(f"('{code}', '{base}')" for code, bases in IUPAC.items() for base in bases)
+
+
+@query(
+    "expand_iupac",
+    "with recursive p as (select name, regexp_extract(expr, '^\\(iupac \"([A-Z]+)\"\\)$', 1) pat from motif_library), b(code, base) as (values " + _CODES + "), "
+    "e(name, pat, k, seq) as (select name, pat, 0, '' from p where pat <> '' union all select e.name, e.pat, e.k + 1, e.seq || base from e join b on b.code = substring(e.pat, e.k + 1, 1) where e.k < length(e.pat)) "
+    "select name, seq as sequence from e where k = length(pat)",
+)
 def expand_iupac(spark: SparkSession, d: str) -> DataFrame:
     pattern = F.regexp_extract("expr", r'^\(iupac "([A-Z]+)"\)$', 1)
     lib = table(spark, d, "motif_library").where(pattern != "").select("name", pattern.alias("pattern"))
@@ -295,9 +303,33 @@ _search(
     + sql.placed("select record_id, strand, n, i, substring(q, i + 1, 12 + max(g)) x from (select *, unnest(range(15, 20)) g from a) where i + g + 12 <= n and (" + sql.mismatches("TATAAT", "(i + 6 + g)") + ") <= 1 group by record_id, strand, n, i, q")
     + _HITS,
 )
-_search("search_edit", '(edit 1 "GAATTCC")', None, more=["edits"])
+_search(
+    "search_edit",
+    '(edit 1 "GAATTCC")',
+    "with " + sql.STRANDS + ", o as (select record_id, strand, n, i, substring(q, i + 1, 8) w from (select *, unnest(range(0, n)) i from st)), c as (select *, unnest([6, 7, 8]) c from o), "
+    "z as (select *, levenshtein(substring(w, 1, c), 'GAATTCC') dist from c where i + c <= n), b as (select *, row_number() over (partition by record_id, strand, i order by dist, c desc) r from z where dist <= 1),"
+    + sql.placed("select record_id, strand, n, i, substring(w, 1, c) x from b where r = 1")
+    + """ select record_id, "start", "end", strand, "match", levenshtein("match", 'GAATTCC')::int as edits from hits""",
+    more=["edits"],
+)
 _search("search_nested", '(seq (alt (fuzzy 1 "GGAGG") "AAGGAG") (gap 4 9) "ATG")', None)
-_search("search_pwm", '(pwm-from-sites ("TATAAA" "TATATA" "TATAAT" "TTTAAA" "TATAAG") :threshold 0.9)', None, more=["relative"])
+_PWM = motif('(pwm-from-sites ("TATAAA" "TATATA" "TATAAT" "TTTAAA" "TATAAG") :threshold 0.9)')
+_LOW, _HIGH = _PWM.bounds()
+
+
+def _score(text: str) -> str:
+    """The sum of weights in the order of positions."""
+    return "(" + " + ".join(f"case {text}[{p + 1}] " + " ".join(f"when '{x}' then {w[p]!r}::double" for x, w in _PWM.rows) + f" else {_LOW / _PWM.width!r}::double end" for p in range(_PWM.width)) + ")"
+
+
+_search(
+    "search_pwm",
+    '(pwm-from-sites ("TATAAA" "TATATA" "TATAAT" "TTTAAA" "TATAAG") :threshold 0.9)',
+    "with " + sql.STRANDS + ", o as (select record_id, strand, n, i, substring(q, i + 1, 6) w from (select *, unnest(range(0, n - 5)) i from st)),"
+    + sql.placed(f"select record_id, strand, n, i, w x from o where ({_score('w')} - {_LOW!r}::double) / {_HIGH - _LOW!r}::double >= 0.9")
+    + f""" select record_id, "start", "end", strand, "match", floor(({_score('"match"')} - {_LOW!r}::double) / {_HIGH - _LOW!r}::double * 1000 + 0.5) / 1000 as relative from hits""",
+    more=["relative"],
+)
 _PAIRED = " + ".join(f"(w[{k + 1}] || w[2 * l + g - {k}] not in ('AT', 'TA', 'GC', 'CG') and {k} < l)::int" for k in range(7))
 _search(
     "search_hairpin",
@@ -310,7 +342,12 @@ _search(
 )
 
 
-@query("search_captures")
+@query(
+    "search_captures",
+    sql.regular("TTGAC[A-Z]{3,6}TA[AT]", 14) + """, l as (select h.*, o from hits h join (select distinct record_id, coalesce("offset", 0) o from seq_records) using (record_id)),
+       b as (select *, 'box' label, case strand when '+' then "start" else "end" - 5 end f, 5 w from l union all select *, 'tail', case strand when '+' then "end" - 3 else "start" end, 3 from l)
+       select record_id, "start" + o as "start", strand, label, f + o as from_pos, f + w + o as to_pos, case label when 'box' then left("match", 5) else right("match", 3) end as text from b""",
+)
 def search_captures(spark: SparkSession, d: str) -> DataFrame:
     """Bound texts with absolute positions."""
     hits = absolute(search(_records(spark, d), "(seq (named 'box \"TTGAC\") (gap 3 6) (named 'tail (iupac \"TAW\")))"))
@@ -356,9 +393,16 @@ def _good_matches(spark: SparkSession, d: str) -> DataFrame:
     return m.where(F.col("sequence").isNotNull() & F.col("motif").isNotNull() & F.col("strand").isin("+", "-") & (F.col("start") < F.col("end")))
 
 
-@query("collapse_longest")
+@query(
+    "collapse_longest",
+    f"""with recursive {_MATCHES}, r as (select *, row_number() over (partition by sequence, motif, strand order by s, e desc) n from (select distinct sequence, motif, strand, s, e from ok)),
+        f as (select sequence, motif, strand, n, s a, e z, 1 k from r where n = 1
+              union all select r.sequence, r.motif, r.strand, r.n, case when r.s >= f.z or r.e - r.s > f.z - f.a then r.s else f.a end, case when r.s >= f.z or r.e - r.s > f.z - f.a then r.e else f.z end, f.k + (r.s >= f.z)::int
+              from f join r on r.sequence = f.sequence and r.motif = f.motif and r.strand = f.strand and r.n = f.n + 1)
+        select sequence, motif, strand, arg_max(a, n) as "start", arg_max(z, n) as "end" from f group by sequence, motif, strand, k""",
+)
 def collapse_longest(spark: SparkSession, d: str) -> DataFrame:
-    return collapse(_good_matches(spark, d), ["sequence"])
+    return collapse(_good_matches(spark, d), ["sequence"]).drop("score")
 
 
 @query("collapse_best")
@@ -485,7 +529,15 @@ def pwm_train(spark: SparkSession, d: str) -> DataFrame:
     return pwm.train(pwm.aligned_sites(table(spark, d, "motif_matches"))).withColumn("weight", F.round("weight", 6))
 
 
-@query("pwm_consensus")
+@query(
+    "pwm_consensus",
+    """with m as (select motif, replace(upper("match"), 'U', 'T') site from motif_matches where motif is not null and "match" <> ''),
+       w as (select motif, length(site) w, count(*) n from m group by 1, 2), u as (select motif, w from (select *, row_number() over (partition by motif order by n desc, w) r from w) where r = 1),
+       p as (select motif, pos, substring(site, pos::int + 1, 1) letter from (select m.motif, site, unnest(range(0, length(site))) pos from m join u on m.motif = u.motif and length(site) = w)),
+       c as (select motif, pos, letter, count(*) n from p group by all), g as (select motif, pos, unnest(['A', 'C', 'G', 'T']) letter from (select distinct motif, pos from p)),
+       t as (select g.motif, g.pos, g.letter, row_number() over (partition by g.motif, g.pos order by coalesce(n, 0) desc, g.letter) r from g left join c using (motif, pos, letter))
+       select motif, count(*) as width, string_agg(letter, '' order by pos) as consensus from t where r = 1 group by motif""",
+)
 def pwm_consensus(spark: SparkSession, d: str) -> DataFrame:
     return pwm.consensus(pwm.train(pwm.aligned_sites(table(spark, d, "motif_matches"))))
 
@@ -563,9 +615,14 @@ def gel_migration(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("y", F.round(dig.migration_of(F.col("size")), 6))
 
 
-@query("gel_lanes")
+@query(
+    "gel_lanes",
+    SQL["digest_linear"].replace("select record_id, f as from_pos, z as to_pos, z - f as size from g where z is not null", "")
+    + ", z as (select record_id, z - f size from g where z > f), s as (select greatest(max(size), 10000) hi, least(min(size), 100) lo from z), b as (select record_id, max(size) big from z group by 1) "
+    "select record_id, size, round(42 + 300 * (ln(hi) - ln(size)) / (ln(hi) - ln(lo)), 6) as y, round(0.35::double + 0.65::double * sqrt(size / big), 6) as opacity, round(3 + 3 * sqrt(size / big), 6) as thickness from z join b using (record_id) cross join s",
+)
 def gel_lanes(spark: SparkSession, d: str) -> DataFrame:
-    return dig.gel(dig.fragments(_records(spark, d), _cut(spark, d)))
+    return dig.gel(dig.fragments(_records(spark, d), _cut(spark, d))).withColumns({c: F.round(c, 6) for c in ("y", "opacity", "thickness")})
 
 
 _ORFS = (
