@@ -155,13 +155,13 @@ def shared_spans(records: DataFrame, length: int = 100, tile: int = TILE, block:
     open_ = halves.where((F.col("_a") < F.col("_z")) & F.col("_open")).select("_h")
     items = around.join(open_, "_h").select(F.col("_rep._id").alias("_id"), F.col("_rep._lo").alias("_lo"), "_w", "_c", "_c2", "_min", "_max")
     items = items.withColumn("tile", F.expr(f"_lo div {tile}")).groupBy("_id", "tile").agg(F.collect_list(F.struct("_lo", "_w", "_c", "_c2", "_min", "_max")).alias("_items"))
-    rows = items.join(cut, ["_id", "tile"]).select("base", "text", "_items").mapInArrow(_unrolled(length), "_x long, _x2 long, _k int, _c long, _c2 long, _min long, _max long")
+    rows = written(items.join(cut, ["_id", "tile"]).select("base", "text", "_items").mapInArrow(_unrolled(length), "_x long, _x2 long, _k int, _c long, _c2 long, _min long, _max long"), "span-windows")
     twice = rows.groupBy("_x", "_x2").agg(F.min("_min").alias("_a"), F.max("_max").alias("_z")).where(F.col("_a") < F.col("_z")).select("_x", "_x2")
     # Shared windows of surroundings that are in one record only; the others are done above.
     edge = rows.where(single).join(twice, ["_x", "_x2"], "left_semi").groupBy("_c", "_c2").agg(F.collect_set("_k").alias("_ks"))
     rest = anchors.join(edge, ["_c", "_c2"]).select("_id", "_lo", F.explode("_ks").alias("_k"))
     rest = rest.select("_id", (F.col("_lo") + F.col("_k")).alias("_from"), (F.col("_lo") + F.col("_k") + length).alias("_to"))
-    return merge_intervals(done.unionByName(rest), ["_id"], "_from", "_to", touching=True, block=block).withColumnRenamed("_id", "record_id")
+    return merge_intervals(written(done.unionByName(rest), "span-runs"), ["_id"], "_from", "_to", touching=True, block=block).withColumnRenamed("_id", "record_id")
 
 
 def shared_share(records: DataFrame, **options: int) -> DataFrame:
