@@ -85,12 +85,11 @@ def chosen_enzymes(sites: DataFrame, enzymes: DataFrame, most: int = 2) -> DataF
 def gel(frags: DataFrame, lane: str = "record_id") -> DataFrame:
     """(lane, size, y, opacity, thickness): where each fragment runs beside the ladder, larger ones brighter and thicker.
 
-    The scale spans the ladder, stretched where a fragment is larger or smaller.
+    A lane's scale spans the ladder, stretched where one of its fragments is larger or smaller.
     """
     f = frags.where(F.col("size") > 0)
-    scale = f.agg(F.greatest(F.max("size"), F.lit(LADDER[0])).alias("_hi"), F.least(F.min("size"), F.lit(LADDER[-1])).alias("_lo"))
-    biggest = f.groupBy(lane).agg(F.max("size").alias("_big"))
-    f = f.join(biggest, lane).crossJoin(F.broadcast(scale))  # one row
+    scale = f.groupBy(lane).agg(F.max("size").alias("_big"), F.greatest(F.max("size"), F.lit(LADDER[0])).alias("_hi"), F.least(F.min("size"), F.lit(LADDER[-1])).alias("_lo"))
+    f = f.join(scale, lane)
     size, hi, lo, big = (F.col(c).cast("double") for c in ("size", "_hi", "_lo", "_big"))
     return f.select(lane, "size", migration(size, lo, hi).alias("y"), band_opacity(size, big).alias("opacity"), band_thickness(size, big).alias("thickness"))
 

@@ -162,26 +162,27 @@ def species_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"[\s-]+", "_")
 
 
-def suggest_species(typed: DataFrame, species: DataFrame) -> DataFrame:
+def suggest_species(typed: DataFrame, species: DataFrame, most: int = 10_000) -> DataFrame:
     """(typed, suggestion) of names that aren't a species' own: an exact display, common or alias name, else the
     nearest name within three letters (two below ten letters), else the first that begins so.
 
-    ``species`` is a dimension; the suggestion is null where nothing is near. Null and blank names are left out.
+    ``species`` is a dimension of at most ``most`` rows; the suggestion is null where nothing is near. Null and blank names are left out.
     """
     t = typed.select("typed", species_key(F.col("typed")).alias("_key")).where(F.col("_key") != "").distinct()
-    names = F.transform(F.concat(F.array("display", "common"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(x))
-    s = F.broadcast(species.select(F.col("name").alias("_name"), names.alias("_names")))
-    pairs = t.join(s, F.lit(True))  # every typed name with the few species there are
-    exact = F.array_contains("_names", F.translate("_key", "_", " ")) | F.array_contains("_names", F.col("_key"))
-    distance = F.levenshtein("_key", "_name")
-    best = pairs.groupBy("typed", "_key").agg(
-        F.bool_or(F.col("_name") == F.col("_key")).alias("_own"),
-        F.min(F.when(F.coalesce(exact, F.lit(False)), F.col("_name"))).alias("_exact"),
-        F.min(F.struct(distance.alias("d"), F.col("_name").alias("n"))).alias("_near"),
-        F.min(F.when(F.startswith("_name", "_key") & (F.length("_key") >= 4), F.col("_name"))).alias("_begins"),
-    )
-    near = F.when(F.col("_near.d") <= F.when(F.length("_key") >= 10, 3).otherwise(2), F.col("_near.n"))
-    return best.where(~F.col("_own")).select("typed", F.coalesce("_exact", near, "_begins").alias("suggestion"))
+    rows = species.select("name", "display", "common", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise MotifError(f"more than {most} species")
+    text = lambda x: F.lit(x).cast("string")
+    # The list travels as a constant of the plan; each name is held against all of it in its row.
+    known = F.array(*[F.struct(F.lit(r.name).alias("n"), F.array(*[text(x.lower()) for x in (r.display, r.common, *r.aliases) if x is not None]).cast("array<string>").alias("names")) for r in sorted(rows, key=lambda r: r.name)])
+    words = F.translate("_key", "_", " ")
+    first = lambda test: F.try_element_at(F.filter(known, test), F.lit(1))["n"]
+    exact = first(lambda s: F.array_contains(s["names"], words) | F.array_contains(s["names"], F.col("_key")))
+    near = F.array_min(F.transform(known, lambda s: F.struct(F.levenshtein(F.col("_key"), s["n"]).alias("d"), s["n"].alias("n"))))
+    close = F.when(near["d"] <= F.when(F.length("_key") >= 10, 3).otherwise(2), near["n"])
+    begins = F.when(F.length("_key") >= 4, first(lambda s: F.startswith(s["n"], F.col("_key"))))
+    own = F.exists(known, lambda s: s["n"] == F.col("_key"))
+    return t.where(~own).select("typed", F.coalesce(exact, close, begins).alias("suggestion"))
 
 
 def letters_of(records: DataFrame) -> DataFrame:

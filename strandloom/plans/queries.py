@@ -618,8 +618,8 @@ def gel_migration(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "gel_lanes",
     SQL["digest_linear"].replace("select record_id, f as from_pos, z as to_pos, z - f as size from g where z is not null", "")
-    + ", z as (select record_id, z - f size from g where z > f), s as (select greatest(max(size), 10000) hi, least(min(size), 100) lo from z), b as (select record_id, max(size) big from z group by 1) "
-    "select record_id, size, round(42 + 300 * (ln(hi) - ln(size)) / (ln(hi) - ln(lo)), 6) as y, round(0.35::double + 0.65::double * sqrt(size / big), 6) as opacity, round(3 + 3 * sqrt(size / big), 6) as thickness from z join b using (record_id) cross join s",
+    + ", z as (select record_id, z - f size from g where z > f), b as (select record_id, max(size) big, greatest(max(size), 10000) hi, least(min(size), 100) lo from z group by 1) "
+    "select record_id, size, round(42 + 300 * (ln(hi) - ln(size)) / (ln(hi) - ln(lo)), 6) as y, round(0.35::double + 0.65::double * sqrt(size / big), 6) as opacity, round(3 + 3 * sqrt(size / big), 6) as thickness from z join b using (record_id)",
 )
 def gel_lanes(spark: SparkSession, d: str) -> DataFrame:
     return dig.gel(dig.fragments(_records(spark, d), _cut(spark, d))).withColumns({c: F.round(c, 6) for c in ("y", "opacity", "thickness")})
@@ -734,11 +734,11 @@ def species_suggest(spark: SparkSession, d: str) -> DataFrame:
     return lib.suggest_species(typed.where(F.col("typed").isNotNull()), s)
 
 
-@query("edit_distance", "select a.name, min(levenshtein(a.name, b.name)) as nearest from species_list a join species_list b on a.name <> b.name group by 1")
+@query("edit_distance", "select record_id, levenshtein(name, description) as distance from seq_records where regexp_matches(name, '^[ -~]*$') and regexp_matches(description, '^[ -~]*$')")
 def edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "species_list").select("name")
-    other = F.broadcast(s.select(F.col("name").alias("other")))  # a fixed table
-    return s.join(other, F.col("name") != F.col("other")).groupBy("name").agg(F.min(F.levenshtein("name", "other")).cast("long").alias("nearest"))
+    """Between name and description, where both are ASCII."""
+    plain = F.col("name").rlike("^[ -~]*$") & F.col("description").rlike("^[ -~]*$")
+    return _records(spark, d).where(plain).select("record_id", F.levenshtein("name", "description").cast("long").alias("distance"))
 
 
 @query("record_totals", "with " + sql.RECORDS + " select kind as type, count(*) as records, sum(length(s))::bigint as letters from n group by 1")
