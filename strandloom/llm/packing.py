@@ -105,8 +105,10 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", block: int =
     Items of no tokens (null counts as 0) take no room and join a container of their block.  An empty table gives no rows.
     """
     packs = limits.where(F.col("capacity") > 0).select("pack", "tokenizer", F.col("capacity").cast("long").alias("capacity"))
-    items = sizes.select(F.col(key).alias("_id"), *[c for c in ["tokenizer"] if c in sizes.columns], F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("_size"))
-    items = items.join(F.broadcast(packs), "tokenizer") if "tokenizer" in items.columns else items.crossJoin(F.broadcast(packs))  # a few rows
+    named = "tokenizer" in sizes.columns
+    items = sizes.select(F.col(key).alias("_id"), (F.col("tokenizer") if named else F.lit("")).alias("_by"), F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("_size"))
+    by = (F.col("tokenizer") if named else F.lit("")).alias("_by")
+    items = items.join(F.broadcast(packs.select("pack", "capacity", by)), "_by")  # a fixed table of a few rows
     items = items.select("pack", "_id", "_size", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_size") / F.col("capacity")) - 1, F.lit(0)))).alias("piece"))
     items = items.withColumn("_first", F.col("piece") * F.col("capacity")).withColumn("_size", F.least(F.col("_size") - F.col("_first"), F.col("capacity")))
     items = items.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece"), F.lit(salts)))
