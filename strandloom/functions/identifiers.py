@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,15 @@ def prose(text: Column) -> Column:
     return F.regexp_replace(escape_html(text), r"\*\*(.+?)\*\*", "<strong>$1</strong>")
 
 
+def annotate(text: Column, terms: list[str]) -> Column:
+    """The first appearance of each term outside of tags wrapped in <dfn>, longer terms first, so that none is wrapped within another."""
+    for term in sorted(terms, key=lambda t: (-len(t), t)):
+        literal = re.sub(r"([^A-Za-z0-9 ])", r"\\\1", term)
+        outside = r"(?is)\A((?:[^<]|<dfn>[^<]*</dfn>|<[^>]*>)*?)(?<!\w)(" + literal + r")(?!\w)(?![^<]*(?:>|</dfn>))"
+        text = F.regexp_replace(text, outside, "$1<dfn>$2</dfn>")
+    return text
+
+
 def uri_component(text: Column) -> Column:
     """Percent encoding that leaves letters, digits and - _ . ! ~ * ' ( ) alone."""
     out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))

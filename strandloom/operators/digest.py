@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.letters import letters
 from ..functions.sequence import band_opacity, band_thickness, guess_type, migration
 from ..lang.motif import MotifError
+from ..session import written
 from .intervals import gaps_between
 from .search import search
 
@@ -63,8 +64,8 @@ def fragments(records: DataFrame, sites: DataFrame, circular: bool = False) -> D
     if not circular:
         inner = sites.where((F.col("cut_top") > 0) & (F.col("cut_top") < F.col("n"))).select("record_id", "cut_top").distinct()
         points = point(inner, F.col("cut_top")).unionByName(point(whole, F.lit(0))).unionByName(point(whole, F.col("n")))
-        return gaps_between(points, ["record_id"]).withColumn("size", F.col("to_pos") - F.col("from_pos"))
-    cuts = sites.select("record_id", "cut_top").distinct()
+        return gaps_between(written(points, "cut-points"), ["record_id"]).withColumn("size", F.col("to_pos") - F.col("from_pos"))
+    cuts = written(sites.select("record_id", "cut_top").distinct(), "cut-points")
     between = gaps_between(point(cuts, F.col("cut_top")), ["record_id"]).withColumn("size", F.col("to_pos") - F.col("from_pos"))
     ends = cuts.groupBy("record_id").agg(F.min("cut_top").alias("_a"), F.max("cut_top").alias("_z"))
     across = whole.join(ends, "record_id").select("record_id", F.col("_z").alias("from_pos"), F.col("_a").alias("to_pos"), (F.col("n") - F.col("_z") + F.col("_a")).alias("size"))
@@ -82,6 +83,23 @@ def chosen_enzymes(sites: DataFrame, enzymes: DataFrame, most: int = 2) -> DataF
     return counts.withColumn("place", place).where(F.col("place") <= most)
 
 
+def digest_lanes(records: DataFrame, enzymes: DataFrame, circular: bool = False) -> DataFrame:
+    """(record_id, lane, from_pos, to_pos, size): each record cut with its two chosen enzymes, each alone (lanes 1 and 2) and together (lane 0).
+
+    Records that no enzyme cuts give no row.
+    """
+    sites = written(cut_sites(records, enzymes, circular), "cut-sites")  # the search is run once
+    chosen = chosen_enzymes(sites, enzymes).select("record_id", "enzyme", "place")
+    used = sites.join(chosen, ["record_id", "enzyme"])
+    out = None
+    for lane in (0, 1, 2):
+        mine = used if lane == 0 else used.where(F.col("place") == lane)
+        cut = records.join(chosen if lane == 0 else chosen.where(F.col("place") == lane), "record_id", "left_semi")
+        one = fragments(cut, mine, circular).withColumn("lane", F.lit(lane))
+        out = one if out is None else out.unionByName(one)
+    return out.select("record_id", "lane", "from_pos", "to_pos", "size")
+
+
 def gel(frags: DataFrame, lane: str = "record_id") -> DataFrame:
     """(lane, size, y, opacity, thickness): where each fragment runs beside the ladder, larger ones brighter and thicker.
 

@@ -797,3 +797,21 @@ def salvaged_replies(spark: SparkSession, d: str) -> DataFrame:
 def explained_background(spark: SparkSession, d: str) -> DataFrame:
     b = chance.background(dig.nucleic(_records(spark, d)), '(seq "GGA" (gap 2 10) "GGGC")')
     return b.select("record_id", chance.explanation(*[F.col(c) for c in ("observed", "expected", "low", "high", "empirical_p", "trials")]).alias("said"))
+
+
+@query(
+    "digest_lanes",
+    _CUTS + ", li as (select * from sites where t between 0 and n), lc as (select record_id, enzyme, count(*) cuts from li group by 1, 2), "
+    "lr as (select *, row_number() over (partition by record_id order by cuts <> 1, cuts, enzyme)::int place from lc), lp as (select * from lr where place <= 2), "
+    "lu as (select li.record_id, n, t, place from li join lp using (record_id, enzyme)), ll as (select record_id, n, t, unnest([0, place]) lane from lu), "
+    "le as (select distinct record_id, lane, t from ll where t > 0 and t < n union select record_id, lane, 0 from ll union select record_id, lane, n from ll), "
+    "lf as (select record_id, lane, t a, lead(t) over (partition by record_id, lane order by t) z from le) select record_id, lane, a as from_pos, z as to_pos, z - a as size from lf where z is not null",
+)
+def digest_lanes(spark: SparkSession, d: str) -> DataFrame:
+    return dig.digest_lanes(_records(spark, d), table(spark, d, "enzymes"))
+
+
+@query("annotated_docs")
+def annotated_docs(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.concat(F.lit("<b>pattern</b> "), F.coalesce("doc", F.lit("")))
+    return table(spark, d, "motif_library").select("name", ids.annotate(doc, ["pattern", "invented operator", "operator", "width"]).alias("annotated"))

@@ -127,3 +127,10 @@ def test_tiles_hold_what_they_should(spark, size, left, right):
 
 def test_letters(spark):
     assert values(spark, letters, ["a1-C\n ü*", "", None]) == ["AC", "", None]
+
+
+def test_annotation_of_first_appearances(spark):
+    terms = ["frame", "open reading frame", "motif"]
+    given = ["A motif and a Motif in an open reading frame of a frame.", '<i title="motif">x</i> motifs motif', "", None]
+    expected = ["A <dfn>motif</dfn> and a Motif in an <dfn>open reading frame</dfn> of a <dfn>frame</dfn>.", '<i title="motif">x</i> motifs <dfn>motif</dfn>', "", None]
+    assert values(spark, lambda c: ids.annotate(c, terms), given) == expected

@@ -45,6 +45,14 @@ def test_linear_and_circular_digests(spark):
     assert dig.fragments(r.limit(0), dig.cut_sites(r.limit(0), e)).count() == 0
 
 
+def test_lanes_of_the_chosen_enzymes(spark):
+    r = records(spark, "AAAAGAATTCTTTTGAATTCCCCCGGTCTCAAAAAAAAAA", "ACGT")
+    found = {}
+    for f in dig.digest_lanes(r, spark.createDataFrame(ENZYMES, ENZYME)).collect():
+        found.setdefault(f.lane, []).append(f["size"])
+    assert {k: sorted(v) for k, v in found.items()} == {0: [5, 9, 10, 16], 1: [9, 31], 2: [5, 10, 25]}
+
+
 def plain_orfs(seq, least, table=11):
     amino, out = codons(table), set()
     for strand, t in (("+", seq), ("-", reverse_complement(seq))):
