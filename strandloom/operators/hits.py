@@ -69,7 +69,7 @@ def count_places(hits: DataFrame, by: list[str]) -> DataFrame:
     return used.dropna(subset=by).groupBy(*by).agg(F.count(F.lit(1)).alias("hits")).join(places, by)
 
 
-def summary(hits: DataFrame, by: list[str], length: Column | None = None) -> DataFrame:
+def summary(hits: DataFrame, by: list[str]) -> DataFrame:
     """(by, total, forward, reverse): counts of hits by strand."""
     return hits.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("strand") == "+").alias("forward"), F.count_if(F.col("strand") == "-").alias("reverse"))
 
