@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +14,84 @@ from ..functions.sequence import guess_type, normalize
 from ..lang.kernels import matcher
 from ..lang.motif import motif
 from ..alphabet import reverse_complement
+from ..session import written
+from .search import WIDEST
 
 TRIALS = 40
+#: Letters of a surrogate that are drawn and searched in one go, and of all surrogates of one row, if it has several.
+PIECE, TOGETHER = 1 << 17, 1 << 18
 
 
-def _uniform(seed: int, trials: int, n: int) -> np.ndarray:
-    """trials x n numbers in [0, 1), the same wherever and whenever they are drawn."""
-    return np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), 0x5EED])).random((n, trials))
+def _model(pieces: Iterable[str]) -> tuple[str, list[int], list[int]]:
+    """The letters of a text, how often each occurs, and how often each is followed by each other (row by row)."""
+    every, follows, last = np.zeros(256, np.int64), np.zeros((256, 256), np.int64), None
+    for piece in pieces:
+        code = np.frombuffer(piece.encode("latin-1", "replace"), np.uint8).astype(np.int64)
+        every += np.bincount(code, minlength=256)
+        if last is not None:
+            code = np.concatenate([[last], code])
+        follows += np.bincount(code[:-1] * 256 + code[1:], minlength=1 << 16).reshape(256, 256)
+        last = code[-1]
+    used = np.flatnonzero(every)
+    return used.astype(np.uint8).tobytes().decode("latin-1"), every[used].tolist(), follows[np.ix_(used, used)].ravel().tolist()
+
+
+def _walk(after: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """trials x n states: ``after[j]`` has what follows each position's predecessor if that is j, ``state`` the states before.
+
+    The positions are cut into blocks that are walked side by side from every state; which walk holds is read off block by block.
+    """
+    k, trials, n = after.shape
+    width = max(int(np.sqrt(n)), 1)
+    blocks = -(-n // width)
+    padded = np.zeros((k, trials, blocks * width), np.uint8)
+    padded[:, :, :n] = after
+    # One flat row of k x trials x blocks for each step.
+    steps = np.ascontiguousarray(padded.reshape(k, trials, blocks, width).transpose(3, 0, 1, 2)).reshape(width, -1)
+    cell = np.tile(np.arange(trials * blocks), k)
+    walks = np.empty((width, k * trials * blocks), np.uint8)
+    walks[0] = steps[0]
+    for i in range(1, width):
+        walks[i] = steps[i][walks[i - 1].astype(np.int64) * (trials * blocks) + cell]
+    walks = walks.reshape(width, k, trials, blocks)
+    begin, each = np.empty((trials, blocks), np.int64), np.arange(trials)
+    for b in range(blocks):
+        begin[:, b] = state
+        state = walks[-1, state, each, b].astype(np.int64)
+    out = walks[:, begin, each[:, None], np.arange(blocks)]
+    return out.transpose(1, 2, 0).reshape(trials, -1)[:, :n]
+
+
+def _drawn(model: tuple[str, list[int], list[int]], n: int, seed: int, first: int, trials: int, piece: int = PIECE) -> Iterator[list[str]]:
+    """Surrogates ``first`` and following of a text of n letters, piece by piece: the next letters of each.
+
+    Each surrogate has its own counter-based generator, so that it is the same wherever it is drawn and however it is cut.
+    """
+    used, every, follows = model
+    k = len(used)
+    every, follows = np.array(every, float), np.array(follows, float).reshape(k, k)
+    follows[follows.sum(1) == 0] = every
+    steps = np.cumsum(follows / follows.sum(1, keepdims=True), axis=1)
+    steps[steps > 1 - 1e-12] = 1  # rounding must not let a letter follow that never does
+    begin = np.cumsum(every / every.sum())
+    draws = [np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), 0x5EED + first + t])) for t in range(trials)]
+    code, state = np.frombuffer(used.encode("latin-1"), np.uint8), None
+    for at in range(0, n, piece):
+        u = np.stack([d.random(min(piece, n - at)) for d in draws])
+        out = np.empty(u.shape, np.uint8)
+        done = 0
+        if state is None:
+            state = np.minimum(np.searchsorted(begin, u[:, 0], side="right"), k - 1)
+            out[:, 0], done = state, 1
+        if u.shape[1] > done:
+            after = np.zeros((k, trials, u.shape[1] - done), np.uint8)
+            for j in range(k):
+                for value, many in zip(*np.unique(steps[j], return_counts=True)):
+                    if value < 1:
+                        after[j] += (u[:, done:] >= value).astype(np.uint8) * np.uint8(many)
+            out[:, done:] = _walk(after, state)
+            state = out[:, -1].astype(np.int64)
+        yield [row.tobytes().decode("latin-1") for row in code[out]]
 
 
 def surrogates(text: str, trials: int, seed: int) -> list[str]:
@@ -28,62 +99,104 @@ def surrogates(text: str, trials: int, seed: int) -> list[str]:
 
     The first letter is drawn from the text, each next one from the successors of the last; a letter without one is followed by any letter of the text.
     """
-    n = len(text)
-    if n < 2:
+    if len(text) < 2:
         return [text] * trials
-    codes = np.frombuffer(text.encode("latin-1", "replace"), np.uint8).astype(np.int64)
-    letters_, index = np.unique(codes, return_inverse=True)
-    k = len(letters_)
-    follows = np.zeros((k, k))
-    np.add.at(follows, (index[:-1], index[1:]), 1)
-    every = np.bincount(index, minlength=k).astype(float)
-    follows[follows.sum(1) == 0] = every
-    steps = np.cumsum(follows / follows.sum(1, keepdims=True), axis=1)
-    draws = _uniform(seed, trials, n)
-    out = np.empty((n, trials), np.int64)
-    out[0] = np.minimum(np.searchsorted(np.cumsum(every / n), draws[0], side="right"), k - 1)
-    for i in range(1, n):
-        out[i] = np.minimum((draws[i][:, None] >= steps[out[i - 1]]).sum(1), k - 1)
-    return [letters_[column].astype(np.uint8).tobytes().decode("latin-1") for column in out.T]
+    return ["".join(pieces) for pieces in zip(*_drawn(_model([text]), len(text), seed, 0, trials))]
 
 
-def _count(m, text: str, nuc: bool) -> int:
-    found = {(i, j, text[i:j]) for i, j, _, _ in m.hits(text)}
-    total = len(found)
+def _windows(pieces: Iterable[str], n: int, margin: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """(text, first, last, from, to): a text of n letters with ``margin`` letters around the starts from-to that each part owns; first and last are where the whole begins and ends."""
+    held, base, done = "", 0, 0
+    for piece in pieces:
+        held += piece
+        got = base + len(held)
+        upto = n if got == n else got - margin
+        if upto > done:
+            yield held, -base, n - base, done - base, upto - base
+            done = upto
+            drop = max(0, done - margin - base)
+            held, base = held[drop:], base + drop
+
+
+def _count(m, text: str, nuc: bool, first: int = 0, last: int | None = None, lo: int = 0, hi: int | None = None) -> int:
+    """Hits that begin at lo to hi; a reverse hit begins at its last forward letter."""
+    n = len(text)
+    last, hi = n if last is None else last, n if hi is None else hi
+    found = {(i, j, text[i:j]) for i, j, _, _ in m.hits(text, first, last)}
+    total = sum(lo <= i < hi for i, _, _ in found)
     if nuc:
-        back, n = reverse_complement(text), len(text)
-        total += sum((n - j, n - i, back[i:j]) not in found for i, j, _, _ in m.hits(back))
+        back = reverse_complement(text)
+        total += sum(lo < n - i <= hi and (n - j, n - i, back[i:j]) not in found for i, j, _, _ in m.hits(back, n - last, n - first))
     return total
 
 
-def _trials(source: str, trials: int):
+def _counted(m, pieces: Iterable[str], n: int, nuc: bool) -> int:
+    """Hits of a text of n letters that comes in pieces; motifs without a bound of width are searched in the whole text."""
+    margin = m.span[1] if m.span[1] is not None and m.span[1] <= WIDEST else n
+    return sum(_count(m, text, nuc, *where) for text, *where in _windows(pieces, n, int(margin)))
+
+
+_MODEL = "_row long, _nuc boolean, _seed long, _n long, observed long, _used string, _every array<long>, _follows array<long>"
+
+
+def _models(source: str):
+    """Records -> what their surrogates are drawn from, and the hits observed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in range(batch.num_rows):
+                number, kind, seed, text = (batch.column(c)[row].as_py() for c in range(1, 5))
+                nuc, n = kind in ("dna", "rna"), len(text)
+                cut = [text[i : i + PIECE] for i in range(0, n, PIECE)]
+                rows.append((number, nuc, seed, n, _counted(matcher(source, nuc), cut, n, nuc), *_model(cut)))
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["record_id", *(x.split()[0] for x in _MODEL.split(", "))])
+
+    return run
+
+
+def _trials(source: str):
+    """Rows of some trials of a record -> the hits on each of their surrogates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, observed = [], [], []
-            for key, kind, seed, text in zip(*(c.to_pylist() for c in batch.columns)):
-                nuc = kind in ("dna", "rna")
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
+            counts = []
+            for nuc, seed, n, used, every, follows, first, trials in rows:
                 m = matcher(source, nuc)
-                keys.append(key)
-                observed.append(_count(m, text, nuc))
-                counts.append([_count(m, s, nuc) for s in surrogates(text, trials, seed)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(observed, pa.int64()), pa.array(counts, pa.list_(pa.int64()))], names=["record_id", "observed", "counts"])
+                if n <= PIECE:
+                    texts = next(_drawn((used, every, follows), n, seed, first, trials))
+                    counts.append([_count(m, text, nuc) for text in texts])
+                else:
+                    counts.append([_counted(m, (x for x, in _drawn((used, every, follows), n, seed, t, 1)), n, nuc) for t in range(first, first + trials)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.list_(pa.int64()))], names=["record_id", "_row", "counts"])
 
     return run
 
 
-def background(records: DataFrame, source: str, trials: int = TRIALS, longest: int = 200_000) -> DataFrame:
+def background(records: DataFrame, source: str, trials: int = TRIALS, longest: int | None = None) -> DataFrame:
     """(record_id, observed, expected, trials, low, high, empirical_p): hits on each record against its surrogates.
 
-    ``low`` and ``high`` are the order statistics at 5 and 95 percent, without interpolation.  Records longer than ``longest`` letters (20,000 for hairpins) are not
-    simulated and give no row, nor do records without letters: the test is one of short sequences.
+    ``low`` and ``high`` are the order statistics at 5 and 95 percent, without interpolation.  Records without letters give no row, nor, where
+    ``longest`` is set, do longer ones.  The trials of long records are spread over tasks; each surrogate is drawn and searched in pieces.
     """
-    node = motif(source)
-    if type(node).__name__ == "Hairpin":
-        longest = min(longest, 20_000)
+    motif(source)
     kind = F.coalesce(F.col("type"), guess_type(F.col("seq")))
-    r = records.select("record_id", kind.alias("_kind"), F.xxhash64("record_id").alias("_seed"), normalize(letters(F.col("seq")), kind).alias("_t"))
-    r = r.where(F.length("_t").between(1, longest)).repartition(F.col("record_id"))
-    drawn = r.mapInArrow(_trials(source, trials), f"record_id {records.schema['record_id'].dataType.simpleString()}, observed long, counts array<long>")
+    r = records.select("record_id", F.monotonically_increasing_id().alias("_row"), kind.alias("_kind"), F.xxhash64("record_id").alias("_seed"), normalize(letters(F.col("seq")), kind).alias("_t"))
+    r = r.where(F.length("_t") > 0)
+    if longest is not None:
+        r = r.where(F.length("_t") <= longest)
+    key = f"record_id {records.schema['record_id'].dataType.simpleString()}"
+    # Each record is read once; what its surrogates are drawn from is a small row, however long the record.
+    models = written(r.repartition(F.col("record_id")).mapInArrow(_models(source), f"{key}, {_MODEL}"), "background")
+    several = F.least(F.greatest(F.floor(F.lit(TOGETHER) / F.col("_n")), F.lit(1)), F.lit(trials)).cast("int")
+    drawn = models.drop("observed").withColumn("_several", several).withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.col("_several"))))
+    drawn = drawn.select("record_id", "_row", "_nuc", "_seed", "_n", "_used", "_every", "_follows", "_first", F.least("_several", F.lit(trials) - F.col("_first")).alias("_several"))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = drawn.repartition(parts, "_row", "_first").mapInArrow(_trials(source), f"{key}, _row long, counts array<long>")
+    drawn = drawn.groupBy("_row").agg(F.flatten(F.collect_list("counts")).alias("counts")).join(models.select("record_id", "_row", "observed"), "_row")
     ordered = F.array_sort("counts")
     at = lambda q: int(np.floor((trials - 1) * q)) if q < 0.5 else int(np.ceil((trials - 1) * q))
     return drawn.select(

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.alphabet import STARTS, codons, reverse_complement
+from strandloom.lang.kernels import matcher
 from strandloom.operators import background as chance
 from strandloom.operators import digest as dig
 from strandloom.operators import library as lib
@@ -104,6 +106,46 @@ def test_surrogates_keep_letters_and_successors():
     assert all(len(s) == 8 and re.fullmatch("B?(AB)*A?", s) for s in out)
 
 
+def test_background_of_long_records(spark):
+    draw = random.Random(3)
+    seq = "".join(draw.choice("ACGT") for _ in range(250_000))
+    (row,) = chance.background(records(spark, seq), '"CACGTG"', trials=6).collect()
+    assert row.observed == seq.count("CACGTG")
+    counts = sorted(s.count("CACGTG") for s in chance.surrogates(seq, 6, spark.range(1, 2).select(F.xxhash64("id")).first()[0]))
+    assert (row.expected, row.low, row.high) == (sum(counts) / 6, counts[0], counts[-1])
+    assert 30 < row.expected < 100
+    (pins,) = chance.background(records(spark, seq[:21_000]), "(hairpin (stem 6 7) (loop 3 5))", trials=2).collect()
+    assert pins.observed > 0
+
+
+def test_surrogates_step_by_step():
+    text = "ACGTTGCANNACGGTC" * 5 + "B"
+    model = chance._model([text[:7], text[7:]])
+    assert model == chance._model([text])
+    whole = ["".join(x) for x in zip(*chance._drawn(model, 500, 11, 0, 3))]
+    assert whole == ["".join(x) for x in zip(*chance._drawn(model, 500, 11, 0, 3, piece=7))]
+    assert whole[2] == "".join(x for x, in chance._drawn(model, 500, 11, 2, 1, piece=64))
+    follows = {}
+    for a, b in zip(text, text[1:]):
+        follows.setdefault(a, []).append(b)
+    for t, found in enumerate(whole):
+        u = np.random.Generator(np.random.Philox(key=[11, 0x5EED + t])).random(500)
+        pick = lambda some, x: sorted(some)[min(int(x * len(some) + 1e-9), len(some) - 1)]
+        want = pick(text, u[0])
+        for x in u[1:]:
+            want += pick(follows.get(want[-1], text), x)
+        assert found == want
+
+
+@pytest.mark.parametrize("source", ['"CACGTG"', '(seq "GGA" (gap 2 10) "GGGC")', '(n-terminal (iupac "ANN"))', '(c-terminal (iupac "NNT"))', "(hairpin (stem 4 5) (loop 3 4))", '(fuzzy 1 "CACGTG")'])
+def test_counts_in_pieces(source):
+    draw = random.Random(5)
+    text = "".join(draw.choice("ACGGT") for _ in range(3000))
+    m = matcher(source, True)
+    for size in (1, 50, 700):
+        assert chance._counted(m, [text[i : i + size] for i in range(0, 3000, size)], 3000, True) == chance._count(m, text, True)
+
+
 def test_thresholds(spark):
     df = spark.createDataFrame([("m", float(i)) for i in range(100)] + [("m", None), ("m", float("nan")), (None, 1.0), ("n", 5.0), ("n", 5.0)], "motif string, score double")
     rows = {r.motif: r for r in chance.calibrated_thresholds(df, 0.1).collect()}
