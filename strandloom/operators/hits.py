@@ -22,7 +22,7 @@ def _fold(rows: Column, clash) -> Column:
 
 
 def collapse(hits: DataFrame, by: list[str], key: str = "longest") -> DataFrame:
-    """Of overlapping hits of one motif and strand keep one: the longest, or with ``key`` best the one of the highest score (null is 0).
+    """Of overlapping hits of one motif and strand keep one: the longest, or with ``key`` best the one of the highest score (null and NaN are 0).
 
     ``by`` names the entity (a record or sequence); hits of different entities never meet.  Kept hits stay disjoint and
     sorted, so only the last kept one can clash.  Hits that overlap through others are folded together,
@@ -39,7 +39,8 @@ def collapse(hits: DataFrame, by: list[str], key: str = "longest") -> DataFrame:
         if key == "longest":
             better = x["end"] - x["start"] > last["end"] - last["start"]
         else:
-            better = F.coalesce(x["score"], F.lit(0.0)) > F.coalesce(last["score"], F.lit(0.0))
+            number = lambda c: F.nanvl(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+            better = number(x["score"]) > number(last["score"])
         return F.when(apart, "keep").when(better, "replace").otherwise("drop")
 
     kept = d.groupBy(*keys, "island").agg(_fold(rows, clash).alias("_kept"))

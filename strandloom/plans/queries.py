@@ -407,7 +407,7 @@ def collapse_longest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("collapse_best")
 def collapse_best(spark: SparkSession, d: str) -> DataFrame:
-    return collapse(_good_matches(spark, d).where(~F.isnan(F.coalesce("score", F.lit(0.0)))), ["sequence"], "best")
+    return collapse(_good_matches(spark, d), ["sequence"], "best")
 
 
 @query(

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.plans.queries import QUERIES
 from strandloom.operators.hits import band_join, collapse, count_places, coverage, elided, non_overlapping
 from strandloom.operators.intervals import gaps_between, islands, match_periods, merge_intervals
 
@@ -124,3 +125,17 @@ def test_band_join(spark):
 def test_elided(spark):
     df = spark.createDataFrame([("a" * 100,), ("short",), (None,)], "t string").select(elided(F.col("t")).alias("t"))
     assert [len(r.t) if r.t else r.t for r in df.collect()] == [60, 5, None]
+
+
+def test_nan_scores_collapse_as_zero(spark):
+    nan = float("nan")
+    rows = [("a", 0, 10, nan), ("a", 5, 15, 2.0), ("a", 20, 30, -1.0), ("a", 25, 35, nan), ("a", 50, 60, nan), ("b", 0, 10, 1.0), ("b", 5, 15, nan)]
+    df = spark.createDataFrame([(r, "m", "+", s, e, x) for r, s, e, x in rows], "record string, motif string, strand string, start long, end long, score double")
+    found = {(r.record, r.start, r.end) for r in collapse(df, ["record"], "best").collect()}
+    assert found == {("a", 5, 15), ("a", 25, 35), ("a", 50, 60), ("b", 0, 10)}
+
+
+def test_collapse_best_reads_hits_of_nan_score(spark, tmp_path):
+    row = "1L as record_id, 's' as sequence, 'm' as motif, '+' as strand, 3L as start, 9L as end, double('nan') as score"
+    spark.sql(f"select {row}").write.parquet(str(tmp_path / "motif_matches.parquet"))
+    assert [(r.start, r.end) for r in QUERIES["collapse_best"](spark, str(tmp_path)).collect()] == [(3, 9)]
