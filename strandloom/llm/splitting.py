@@ -3,12 +3,17 @@
 For a record the least number of pieces is computed and as many equal targets are set;
 each target is snapped to the strongest boundary of its neighbourhood (half a step to
 either side), and where two cuts end up too far apart, equally spaced cuts are added.
+A cut that found no boundary takes the strongest one that keeps both pieces beside it within the limit, wherever it lies.
 All of it runs on rows of boundaries and targets; letters are only touched when the
 pieces are taken out of tiles.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -54,6 +59,53 @@ def unbroken_stretches(records: DataFrame, limits: DataFrame) -> DataFrame:
     return s.select("record_id", (F.col("_from") + F.col("_offset")).alias("from_pos"), (F.col("_to") + F.col("_offset")).alias("to_pos"))
 
 
+def snapped(cuts: list[tuple[int, bool]], boundaries: list[tuple[int, int]], most: int, overlap: int) -> list[tuple[int, bool]]:
+    """Cuts (position, natural) in order, the record's end the last, with artificial ones moved to boundaries (position, run).
+
+    Each takes the strongest boundary (of equal ones the nearest, then the first) that leaves both pieces beside it within the limit, or is
+    dropped if they fit without it; a moved cut's artificial neighbours are tried again, so that in the end none has such a boundary.
+    """
+    boundaries = sorted(b for b in boundaries if overlap < b[0] < cuts[-1][0])
+    places = [at for at, _ in boundaries]
+    before, after = list(range(-1, len(cuts) - 1)), list(range(1, len(cuts) + 1))
+    at, natural, gone = [c for c, _ in cuts], [x for _, x in cuts], set()
+    waiting = [i for i in range(len(cuts) - 2, -1, -1) if not natural[i]]
+    while waiting:
+        i = waiting.pop()
+        if natural[i] or i in gone:
+            continue
+        p, q = before[i], after[i]
+        left = at[p] if p >= 0 else 0
+        reach = left + most - (overlap if p >= 0 else 0)
+        if at[q] <= reach:
+            gone.add(i)
+            before[q] = p
+            if p >= 0:
+                after[p] = q
+        else:
+            near = boundaries[bisect_left(places, max(at[q] - (most - overlap), left + 1)) : bisect_right(places, min(reach, at[q] - 1))]
+            if not near:
+                continue
+            at[i], natural[i] = max(near, key=lambda b: (b[1], -abs(b[0] - at[i]), -b[0]))[0], True
+        waiting += [j for j in (q, p) if j >= 0 and not natural[j]]
+    return [(at[i], natural[i]) for i in range(len(cuts)) if i not in gone]
+
+
+def _snapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of records with their cuts and boundaries -> their cuts."""
+    for batch in batches:
+        of, found = [], []
+        for row in range(batch.num_rows):
+            most, overlap, marks = (batch.column(c)[row].as_py() for c in (2, 3, 5))
+            cuts_ = sorted((x["at"], x["natural"]) for x in marks if x["run"] is None)
+            some = snapped(cuts_, [(x["at"], x["run"]) for x in marks if x["run"] is not None], most, overlap)
+            of += [row] * len(some)
+            found += some
+        rows = pa.array(of, pa.int32())
+        columns = [*(batch.column(c).take(rows) for c in range(5)), pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["record_id", "_n", "_max", "_overlap", "_offset", "_cut", "natural"])
+
+
 def cuts(records: DataFrame, limits: DataFrame) -> DataFrame:
     """(record_id, _n, _max, _overlap, _offset, _cut, natural) of each cut; pieces end at cuts and begin ``overlap`` letters before."""
     s = stretches(records, limits)
@@ -82,7 +134,12 @@ def cuts(records: DataFrame, limits: DataFrame) -> DataFrame:
     t = t.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_parts").cast("long"))))
     at = F.col("_begin") + F.floor((F.col("_cut") - F.col("_begin")) * F.col("_j") / F.col("_parts")).cast("long")
     last = F.col("_j") == F.col("_parts")
-    return t.select(*key, F.when(last, F.col("_cut")).otherwise(at).alias("_cut"), (F.col("natural") & last).alias("natural"))
+    set_ = t.select(*key, F.when(last, F.col("_cut")).otherwise(at).alias("at"), F.lit(None).cast("long").alias("run"), (F.col("natural") & last).alias("natural"))
+    # A record's marks are one row: fewer than its letters, which are one as well.
+    marks = set_.unionByName(b.select(*key, F.col("_at").alias("at"), F.col("_run").alias("run"), F.lit(True).alias("natural")))
+    marks = marks.groupBy(*key).agg(F.collect_list(F.struct("at", "run", "natural")).alias("_marks"))
+    kind = records.schema["record_id"].dataType.simpleString()
+    return marks.mapInArrow(_snapping, f"record_id {kind}, _n long, _max long, _overlap long, _offset long, _cut long, natural boolean")
 
 
 def split_records(records: DataFrame, limits: DataFrame, tile: int = TILE) -> DataFrame:

@@ -55,6 +55,37 @@ def test_cuts_take_natural_boundaries(spark):
     assert sum(p.natural for p in pieces) >= 4
 
 
+def test_no_artificial_cut_where_a_boundary_fits(spark):
+    draw = random.Random(21)
+    rows = fixture()
+    # The only boundary lies in the last half step; only an added cut can take one.
+    rows += [(200, "dna", 0, "A" * 150 + "N" * 10 + "A" * 20, 1, 1), (201, "protein", 0, "A" * 60 + "X" * 10 + "A" * 45, 1, 1), (202, "dna", 0, "A" * 30 + "N" * 12 + "A" * 70, 1, 1)]
+    rows += [(300 + i, "dna", 0, "".join("A" * draw.randrange(20, 160) + "N" * draw.randrange(10, 14) for _ in range(12)), 1, 1) for i in range(20)]
+    limits = {k: (a, b) for k, a, b in LIMITS if k}
+    found = {}
+    for r in split_records(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(LIMITS, "type string, max_letters int, overlap_letters int")).collect():
+        found.setdefault(r.record_id, []).append(r)
+    inner = 0
+    for record_id, kind, offset, seq, *_ in rows:
+        if record_id not in found:
+            continue
+        letters = re.sub("[^A-Za-z]", "", seq or "").upper()
+        most, overlap = limits[kind]
+        places = [m.start() + len(m[0]) // 2 for m in re.finditer("X{10,}" if kind == "protein" else "N{10,}", letters)]
+        pieces = sorted(found[record_id], key=lambda p: p.piece)
+        ends = [(p.offset - (offset or 0) + p.length, p.natural) for p in pieces]
+        assert all(p.length <= most for p in pieces)
+        for k, (at, natural) in enumerate(ends[:-1]):
+            inner += 1
+            left, right = ends[k - 1][0] if k else 0, ends[k + 1][0]
+            if natural:
+                assert at in places
+            else:
+                assert not [x for x in places if max(left, overlap) < x < right and x - left <= most - (overlap if k else 0) and right - x <= most - overlap]
+    assert inner > 100
+    assert [p.natural for p in found[202]] == [True, True]
+
+
 def test_stretches_match_brute_force(spark):
     rows = fixture()
     limits = {k: a for k, a, _ in LIMITS if k}
