@@ -430,3 +430,20 @@ def matcher(source: str, nuc: bool) -> Matcher:
     from .motif import motif
 
     return Matcher(motif(source), nuc)
+
+
+@lru_cache(maxsize=4096)
+def taken_up(source: str, nuc: bool):
+    """f(text) -> whether a motif can take up a text as a whole; None for a motif that cannot be read."""
+    from .motif import MotifError, motif
+
+    try:
+        node = motif(source)
+    except MotifError:
+        return None
+    pattern = regex(node, nuc)
+    if pattern is not None:
+        whole = re.compile(pattern)
+        return lambda text: whole.fullmatch(text) is not None
+    step = _steps(node, nuc)
+    return lambda text: any(j == len(text) for j, _ in step(text, 0, {}, 0, len(text)))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..alphabet import reverse_complement
 from ..functions.letters import letters, tiles
 from ..functions.sequence import guess_type, normalize
-from ..lang.kernels import matcher, regex
-from ..lang.motif import MotifError, motif, show, span
+from ..lang.kernels import matcher, regex, taken_up
+from ..lang.motif import MotifError, motif, normal, show, span
 
 TILE = 1 << 15
 #: Motifs wider than this are searched on whole records.
@@ -188,6 +188,26 @@ def full_match(text: Column, source: str, nuc: bool = True) -> Column:
     return prepared.rlike(rf"\A(?:{pattern})\z")
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for text, source, alphabet in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            nuc = alphabet != "protein"
+            takes = None if text is None or source is None else taken_up(source, nuc)
+            found.append(takes(normal(text, nuc)) if takes else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.bool_())], names=["match_id", "whole"])
+
+
+def whole_matches(matches: DataFrame, library: DataFrame) -> DataFrame:
+    """(match_id, whole): whether each match's text is taken up as a whole by its own motif, regular or not, as the library has it.
+
+    ``whole`` is null for a null text and for a motif that is null, not in the library or cannot be read.  Names of the library are its key.
+    """
+    motifs = library.select(F.col("name").alias("motif"), "expr", "alphabet")
+    m = matches.select("match_id", "motif", "match").join(F.broadcast(motifs), "motif", "left").select("match_id", "match", "expr", "alphabet")
+    return m.mapInArrow(_whole, f"match_id {matches.schema['match_id'].dataType.simpleString()}, whole boolean")
+
+
 def usable_motifs(library: DataFrame, most: int = 10_000, enzymes: bool = False) -> tuple[list[tuple[str, str, str | None]], list[tuple[str, str]]]:
     """Motifs of a library that take part in scans, in name order, and those that cannot be read with the reason.
 

@@ -20,7 +20,7 @@ from ..operators import pwm
 from ..operators.background import calibrated_thresholds
 from ..operators.hits import band_join, clusters, collapse, count_places, coverage, elided, non_overlapping, overlapping_any, summary
 from ..operators.intervals import match_periods
-from ..operators.search import absolute, first_hits, full_match, scan, search, usable_motifs
+from ..operators.search import absolute, first_hits, full_match, scan, search, usable_motifs, whole_matches
 from ..sources import export, text
 from ..streaming.hits import run_to_table, stream_of, windowed_counts
 from ..tables import table
@@ -758,6 +758,12 @@ def whole_match(spark: SparkSession, d: str) -> DataFrame:
     return m.select("match_id", full_match(F.col("match"), '(seq "ATC" (gap 2 7) "TGAC")').alias("whole"))
 
 
+@query("full_match_all")
+def all_whole_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Which reported texts their own motif takes up as a whole: all matches and motifs, of which full_match has one."""
+    return whole_matches(table(spark, d, "motif_matches"), table(spark, d, "motif_library"))
+
+
 @query(
     "hit_clusters",
     f"""with {_MATCHES}, b as (select *, unnest(range(s // 60, (e - 1) // 60 + 1)) block from ok), c as (select *, greatest(s, block * 60) a, least(e, (block + 1) * 60) z from b),

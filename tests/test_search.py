@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.alphabet import reverse_complement
 from strandloom.lang.kernels import backtracking
 from strandloom.lang.motif import MotifError, motif
-from strandloom.operators.search import absolute, first_hits, scan, search, usable_motifs
+from strandloom.operators.search import absolute, first_hits, scan, search, usable_motifs, whole_matches
 
 SCHEMA = "record_id long, name string, type string, offset long, seq string, tile long, _t string"
 RECORDS = [
@@ -76,3 +76,32 @@ def test_errors_come_before_the_job_and_empty_tables_work(spark):
         search(df, '(fuzzy 1 (run "A" 2))')
     assert search(df.limit(0), '"A"').count() == 0
     assert search(df.where(F.col("record_id") == 5), '"A"').count() == 0
+
+
+def test_whole_matches_of_every_motif(spark):
+    library = [("gap", '(seq "ATC" (gap 2 7) "TGAC")', "dna"), ("near", '(fuzzy 1 "ACGTAC")', "dna"), ("codes", '(iupac "ATWN")', None), ("site", '(prosite "N-{P}-[ST]")', "protein"), ("edit", '(edit 1 "GATTC")', "dna"), ("pin", "(hairpin (stem 2 3) (loop 1 2))", "dna"), ("bad", "(seq", "dna")]
+    texts = ["ATCAATGAC", "ATCATGAC", "atcaauugac", "ACGTAC", "ACGTAA", "ACGAAA", "ATAN", "ATAC", "ATCC", "NAS", "NPS", "GATTC", "GATC", "GATTTC", "GTTC", "GTC", "GCAGC", "GCATGC", "GCATTGC", "", None]
+
+    def distance(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(distance(a[1:], b) + 1, distance(a, b[1:]) + 1, distance(a[1:], b[1:]) + (a[0] != b[0]))
+
+    def pinned(t):
+        pairs = {"AT", "TA", "GC", "CG"}
+        return any(len(t) == 2 * s + g and all(t[k] + t[-1 - k] in pairs for k in range(s)) for s in (2, 3) for g in (1, 2))
+
+    brute = {
+        "gap": lambda t: t[:3] == "ATC" and t[-4:] == "TGAC" and 9 <= len(t) <= 14,
+        "near": lambda t: len(t) == 6 and sum(a != b for a, b in zip(t, "ACGTAC")) <= 1,
+        "codes": lambda t: len(t) == 4 and t[:2] == "AT" and t[2] in "AT" and t[3] in "ACGT",
+        "site": lambda t: len(t) == 3 and t[0] == "N" and t[1] != "P" and t[2] in "ST",
+        "edit": lambda t: t != "" and distance(t, "GATTC") <= 1,
+        "pin": pinned,
+    }
+    names = [*brute, "bad", "unknown", None]
+    rows = [(i, n, t) for i, (n, t) in enumerate((n, t) for n in names for t in texts)]
+    found = {r.match_id: r.whole for r in whole_matches(spark.createDataFrame(rows, "match_id long, motif string, match string"), spark.createDataFrame(library, "name string, expr string, alphabet string")).collect()}
+    ready = lambda n, t: t.upper() if n == "site" else t.upper().replace("U", "T")
+    assert found == {i: brute[n](ready(n, t)) if n in brute and t is not None else None for i, n, t in rows}
+    assert sum(x is True for x in found.values()) >= 12
