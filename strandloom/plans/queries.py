@@ -169,6 +169,20 @@ def to_iupac(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("record_id", seqs.to_iupac(head).alias("code"))
 
 
+@query(
+    "to_iupac_positions",
+    "with m as (select distinct motif, regexp_replace(replace(upper(\"match\"), 'U', 'T'), '[^A-Z]', '', 'g') s from motif_matches where motif is not null and \"match\" is not null), p as (select motif, pos, substring(s, pos::int + 1, 1) b from (select motif, s, unnest(range(0, length(s))) pos from m)), "
+    "k as (select motif, pos, string_agg(b, '' order by b) z from (select distinct motif, pos, b from p) group by 1, 2), "
+    "v(z, code) as (values ('A','A'),('C','C'),('G','G'),('T','T'),('AG','R'),('CT','Y'),('CG','S'),('AT','W'),('GT','K'),('AC','M'),('CGT','B'),('AGT','D'),('ACT','H'),('ACG','V'),('ACGT','N')) "
+    "select motif, pos::int as pos, coalesce(code, 'N') as code from k left join v using (z)",
+)
+def to_iupac_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The code of the letters seen at each position of each motif, over all letters of all matches."""
+    m = table(spark, d, "motif_matches").where(F.col("motif").isNotNull()).select("motif", F.translate(letters(F.col("match")), "U", "T").alias("s")).distinct()
+    seen = m.select("motif", F.posexplode(F.split("s", "")).alias("pos", "b")).where(F.col("b") != "").groupBy("motif", "pos").agg(F.array_sort(F.collect_set("b")).alias("z"))
+    return seen.select("motif", "pos", seqs.to_iupac(F.array_join("z", "")).alias("code"))
+
+
 @query("parse_site", "select name, site, cut_top, cut_bottom, kind from enzymes")
 def parse_site(spark: SparkSession, d: str) -> DataFrame:
     x = seqs.parse_site(F.col("spec"))
@@ -741,6 +755,12 @@ def edit_distance(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).where(plain).select("record_id", F.levenshtein("name", "description").cast("long").alias("distance"))
 
 
+@query("edit_distance_all")
+def edit_distance_all(spark: SparkSession, d: str) -> DataFrame:
+    """Between name and description of every record, in characters; null where either is. edit_distance has the ASCII ones, which DuckDB's distance in bytes can check."""
+    return _records(spark, d).select("record_id", F.levenshtein("name", "description").cast("long").alias("distance"))
+
+
 @query("record_totals", "with " + sql.RECORDS + " select kind as type, count(*) as records, sum(length(s))::bigint as letters from n group by 1")
 def record_totals(spark: SparkSession, d: str) -> DataFrame:
     kind = F.coalesce(F.col("type"), seqs.guess_type(F.col("seq")))

@@ -9,6 +9,7 @@ from strandloom.alphabet import IUPAC, codons
 from strandloom.functions import identifiers as ids
 from strandloom.functions import sequence as seqs
 from strandloom.functions.letters import letters, tiles
+from strandloom.plans.queries import QUERIES
 
 
 def values(spark, column, texts, kind="string"):
@@ -134,3 +135,18 @@ def test_annotation_of_first_appearances(spark):
     given = ["A motif and a Motif in an open reading frame of a frame.", '<i title="motif">x</i> motifs motif', "", None]
     expected = ["A <dfn>motif</dfn> and a Motif in an <dfn>open reading frame</dfn> of a <dfn>frame</dfn>.", '<i title="motif">x</i> motifs <dfn>motif</dfn>', "", None]
     assert values(spark, lambda c: ids.annotate(c, terms), given) == expected
+
+
+def test_edit_distance_of_every_record(spark, tmp_path):
+    rows = [(1, "café", "cafe"), (2, "列車", "列"), (3, "abc", "abd"), (4, None, "x"), (5, "", "né")]
+    spark.createDataFrame(rows, "record_id long, name string, description string").write.parquet(str(tmp_path / "seq_records.parquet"))
+    assert {r.record_id: r.distance for r in QUERIES["edit_distance_all"](spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 1, 4: None, 5: 2}
+
+
+def test_codes_of_all_positions(spark, tmp_path):
+    rows = [("m", "ACGTAC"), ("m", "acgtgu"), ("m", "ACGTA"), ("n", "TTTTTTTTA"), ("n", None), (None, "A")]
+    spark.createDataFrame(rows, "motif string, match string").write.parquet(str(tmp_path / "motif_matches.parquet"))
+    found = {(r.motif, r.pos): r.code for r in QUERIES["to_iupac_positions"](spark, str(tmp_path)).collect()}
+    assert "".join(found["m", k] for k in range(6)) == "ACGTRY"
+    assert "".join(found["n", k] for k in range(9)) == "TTTTTTTTA"
+    assert len(found) == 15
