@@ -39,7 +39,7 @@ def is_nucleic(kind: Column) -> Column:
 
 def normalize(seq: Column, kind: Column) -> Column:
     """Upper case; U as T in nucleic acids."""
-    return F.when(is_nucleic(kind), F.translate(F.upper(seq), "U", "T")).otherwise(F.upper(seq))
+    return F.when(is_nucleic(kind), F.replace(F.upper(seq), F.lit("U"), F.lit("T"))).otherwise(F.upper(seq))
 
 
 def guess_type(seq: Column) -> Column:

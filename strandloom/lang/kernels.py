@@ -1,7 +1,7 @@
-"""Motifs at work on one tile of text: first match at each start, in priority order.
+"""Irregular motifs at work on one stretch of text: weights, edits, hairpins and what is built of them.
 
-Three ways, from fast to general: a regular expression for regular motifs, array arithmetic for mismatches,
-weights, edits and hairpins, and backtracking for what is left.  All give the same rows.
+Regular motifs, mismatch budgets included, are expressions of the JVM (see :mod:`.patterns`).  Here the first match at
+each start is found by array arithmetic over all starts at once, or by backtracking where parts of several kinds are nested.
 """
 
 from __future__ import annotations
@@ -12,64 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from ..alphabet import IUPAC, PAIRS, WOBBLE
-from .motif import Alt, AnyOne, Cls, Codes, Edge, Edit, Fuzzy, Hairpin, Lit, Named, Pattern, Pwm, Rep, Seq, columns, normal, span
-
-#: One hit: start, end, numbers ($score and the like), bindings (label, start, end) in order of appearance.
-Hit = tuple[int, int, dict, list]
-
-
-# ------------------------------------------------------------------ regular
-
-
-def regex(node, nuc: bool, start: str = r"\A", end: str = r"\Z", labels: list | None = None) -> str | None:
-    """The motif as a regular expression that Java and Python read alike, or None if it isn't regular.
-
-    ``start`` and ``end`` stand for the anchors, None makes an anchored motif irregular.
-    ``labels`` collects one entry for each group: the label, or None.
-    """
-    never = "(?!)"
-
-    def one(chars: str, negated: bool) -> str:
-        escaped = re.sub(r"([\\\]\[^\-&])", r"\\\1", chars)
-        return (f"[^{escaped}]" if chars else r"[\s\S]") if negated else (f"[{escaped}]" if chars else never)
-
-    def go(x) -> str | None:
-        if isinstance(x, Lit):
-            return re.sub(r"([^A-Za-z0-9])", r"\\\1", normal(x.text, nuc))
-        if isinstance(x, Codes):
-            return "".join(IUPAC[c] if len(IUPAC[c]) == 1 else f"[{IUPAC[c]}]" for c in x.text)
-        if isinstance(x, Cls):
-            return one(normal(x.chars, nuc), x.negated)
-        if isinstance(x, AnyOne):
-            return r"[\s\S]"
-        if isinstance(x, Edge):
-            return end if x.at_end else start
-        if isinstance(x, (Seq, Alt)):
-            parts = [go(p) for p in x.parts]
-            if any(p is None for p in parts):
-                return None
-            return "".join(parts) if isinstance(x, Seq) else f"(?:{'|'.join(parts)})" if parts else never
-        if isinstance(x, Rep):
-            # The language skips empty rounds of a repetition, regular expressions don't.
-            if not x.run and span(x.inner)[0] == 0:
-                return None
-            if x.hi is not None and x.hi < x.lo:
-                return never
-            inner = go(x.inner)
-            return None if inner is None else f"(?:{inner}){{{x.lo},{'' if x.hi is None else x.hi}}}"
-        if isinstance(x, Named):
-            if labels is not None:
-                labels.append(x.label)
-            inner = go(x.inner)
-            return None if inner is None else f"({inner})"
-        if isinstance(x, Pattern):
-            if labels is not None:
-                labels.extend([None] * re.compile(x.text).groups)
-            return f"(?>(?i:{x.text}))"
-        return None
-
-    return go(node)
+from ..alphabet import PAIRS, WOBBLE, reverse_complement
+from .motif import Alt, AnyOne, Cls, Edge, Edit, Fuzzy, Hairpin, Named, Pattern, Pwm, Rep, Seq, columns, motif, nodes, normal
+
+#: Hits: starts, ends, numbers by name, bounds (starts, ends) by label; absent ones are NaN and -1.
+Found = tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]
 
 
 # --------------------------------------------------------------- arithmetic
@@ -115,14 +62,14 @@ def _weights(code: np.ndarray, pwm: Pwm, n: int) -> tuple[np.ndarray, np.ndarray
     return out, (out - low) / (high - low) if high != low else np.ones(n)
 
 
-def _half_up(x: float) -> float:
-    return float(np.floor(x * 1000 + 0.5) / 1000)
+def _half_up(x):
+    return np.floor(x * 1000 + 0.5) / 1000
 
 
 def _chain(parts: list, nuc: bool):
     """First match at each start of blocks and gaps: validity is settled from the last part to the first, choices are then read off forwards."""
 
-    def run(text: str) -> Iterator[Hit]:
+    def run(text: str) -> Found:
         code, size = _codes(text), len(text)
         valid = np.ones(size + 1, bool)
         steps = []
@@ -150,20 +97,19 @@ def _chain(parts: list, nuc: bool):
                 jump[:] = width
             steps.append((label, jump, numbers))
             valid = now
-        steps.reverse()
-        for i in np.flatnonzero(valid[:size]):
-            at, extra, bound = int(i), {}, []
-            for label, jump, numbers in steps:
-                to = at + int(jump[at])
-                if numbers and numbers[0] == "pwm":
-                    extra |= {"score": _half_up(numbers[1][at]), "relative": _half_up(numbers[2][at])}
-                elif numbers:
-                    extra["mismatches"] = extra.get("mismatches", 0) + int(numbers[1][at])
-                if label:
-                    bound = [b for b in bound if b[0] != label] + [(label, at, to)] if all(b[0] != label for b in bound) else [(label, at, to) if b[0] == label else b for b in bound]
-                at = to
-            if at > i:
-                yield int(i), at, extra, bound
+        starts = np.flatnonzero(valid[:size])
+        at, numbers_of, bounds = starts.copy(), {}, {}
+        for label, jump, numbers in reversed(steps):
+            to = at + jump[at]
+            if numbers and numbers[0] == "pwm":
+                numbers_of |= {"score": _half_up(numbers[1][at]), "relative": _half_up(numbers[2][at])}
+            elif numbers:
+                numbers_of["mismatches"] = numbers_of.get("mismatches", 0.0) + numbers[1][at].astype(float)
+            if label:
+                bounds[label] = (at, to)
+            at = to
+        some = at > starts
+        return starts[some], at[some], {k: v[some] for k, v in numbers_of.items()}, {k: (a[some], b[some]) for k, (a, b) in bounds.items()}
 
     return run
 
@@ -173,7 +119,7 @@ def _hairpins(node: Hairpin):
     pairs = PAIRS | (WOBBLE if node.wobble else set())
     loops = range(int(node.loop.hi), int(node.loop.lo) - 1, -1)
 
-    def run(text: str) -> Iterator[Hit]:
+    def run(text: str) -> Found:
         code, size = _codes(text), len(text)
         bad = np.ones((256, 256), np.int8)
         for a, b in pairs:
@@ -193,10 +139,10 @@ def _hairpins(node: Hairpin):
                     errors += unpaired[d][k : k + n]
                 fresh = np.flatnonzero((errors <= node.mismatches) & (stem[:n] == 0))
                 stem[fresh], loop[fresh] = length, gap
-        for i in map(int, np.flatnonzero(stem)):
-            a = i + int(stem[i])
-            b = a + int(loop[i])
-            yield i, b + int(stem[i]), {}, [("stem5", i, a), ("loop", a, b), ("stem3", b, b + int(stem[i]))]
+        i = np.flatnonzero(stem)
+        a = i + stem[i]
+        b = a + loop[i]
+        return i, b + stem[i], {}, {"stem5": (i, a), "loop": (a, b), "stem3": (b, b + stem[i])}
 
     return run
 
@@ -205,7 +151,7 @@ def _edits(node: Edit, nuc: bool):
     """Edit distances of the literal to all prefixes at all starts at once; the nearest counts, of equally near ones the longest."""
     want = _codes(normal(node.text, nuc))
 
-    def run(text: str) -> Iterator[Hit]:
+    def run(text: str) -> Found:
         code, size, wide = _codes(text), len(text), len(want) + node.k
         padded = np.concatenate([code, np.zeros(wide + 1, np.uint8)])
         row = [np.full(size, c, np.int16) for c in range(wide + 1)]
@@ -220,8 +166,8 @@ def _edits(node: Edit, nuc: bool):
             inside = np.arange(size) + c <= size
             better = inside & (row[c] < best)
             best[better], width[better] = row[c][better], c
-        for i in map(int, np.flatnonzero(width)):
-            yield i, i + int(width[i]), {"edits": int(best[i])}, []
+        i = np.flatnonzero(width)
+        return i, i + width[i], {"edits": best[i].astype(float)}, {}
 
     return run
 
@@ -333,8 +279,8 @@ def backtracking(node, nuc: bool):
     """f(text, first, last) -> hits, whatever the motif."""
     step = _steps(node, nuc)
 
-    def run(text: str, first: int, last: int, only: int | None = None) -> Iterator[Hit]:
-        for i in range(len(text) + 1) if only is None else [only]:
+    def run(text: str, first: int, last: int) -> Iterator[tuple[int, int, dict, list]]:
+        for i in range(len(text) + 1):
             for j, b in step(text, i, {}, first, last):
                 if j > i:
                     yield i, j, {k[1:]: v for k, v in b.items() if k[0] == "$"}, [(k, *v) for k, v in b.items() if k[0] != "$"]
@@ -346,104 +292,77 @@ def backtracking(node, nuc: bool):
 # --------------------------------------------------------------------- all
 
 
-class Matcher:
-    """A motif compiled for one alphabet."""
+class Kernel:
+    """An irregular motif compiled for one alphabet; it finds regular ones as well, if slowly."""
 
     def __init__(self, node, nuc: bool):
-        self.node, self.nuc, self.span = node, nuc, span(node)
-        self.labels: list = []
-        pattern = regex(node, nuc, labels=self.labels) if self.span[0] > 0 or isinstance(node, Pattern) else None
-        self.anchored = _anchored(node)
-        self._regular = pattern is not None and len({x for x in self.labels if x}) == len([x for x in self.labels if x])
-        self._cache: dict = {}
-        self.array = None
-        if not self._regular:
-            parts = _parts(node)
-            if parts is not None:
-                self.array = _chain(parts, nuc)
-            elif isinstance(node, Hairpin) and isinstance(node.loop, Rep) and node.loop.run and isinstance(node.loop.inner, AnyOne) and node.loop.hi is not None:
-                self.array = _hairpins(node)
-            elif isinstance(node, Edit):
-                self.array = _edits(node, nuc)
-        self.general = backtracking(node, nuc)
-
-    def _pattern(self, at_start: bool, at_end: bool):
-        key = (at_start, at_end) if self.anchored else None
-        if key not in self._cache:
-            self._cache[key] = re.compile(f"(?=({regex(self.node, self.nuc, r'\A' if at_start else '(?!)', r'\Z' if at_end else '(?!)')}))")
-        return self._cache[key]
-
-    def hits(self, text: str, first: int = 0, last: int | None = None) -> Iterator[Hit]:
-        """Hits in a text; ``first`` and ``last`` are where the whole strand begins and ends, seen from the text."""
-        last = len(text) if last is None else last
-        if self._regular:
-            for m in self._pattern(first == 0, last == len(text)).finditer(text):
-                if m.end(1) > m.start():
-                    yield m.start(), m.end(1), {}, [(label, *m.span(k)) for k, label in enumerate(self.labels, 2) if label and m.start(k) >= 0]
-        elif self.array is not None:
-            yield from self.array(text)
-        else:
-            yield from self.general(text, first, last)
-
-    @property
-    def joinable(self) -> bool:
-        """Whether texts may be searched end to end: nothing in the motif sees the borders of its text."""
-        return not self.anchored and not _has(self.node, Pattern)
-
-    def hits_of_many(self, texts: list[str]) -> Iterator[tuple[int, Hit]]:
-        """(text, hit) of several texts in one go.
-
-        They are searched end to end; a match that runs over a border may hide a later alternative that doesn't, so its start is tried again in its own text.
+        self.node, self.nuc = node, nuc
+        self._general = backtracking(node, nuc)
+        self._array, parts = None, _parts(node)
+        if parts is not None and len({label for _, label, _ in parts if label}) == sum(bool(label) for _, label, _ in parts):
+            self._array = _chain(parts, nuc)
+        elif isinstance(node, Hairpin) and isinstance(node.loop, Rep) and node.loop.run and isinstance(node.loop.inner, AnyOne) and node.loop.hi is not None:
+            self._array = _hairpins(node)
+        elif isinstance(node, Edit):
+            self._array = _edits(node, nuc)
+
+    def general(self, text: str, first: int, last: int) -> Found:
+        """Hits by backtracking; first and last are where the strand begins and ends, seen from the text."""
+        hits = list(self._general(text, first, last))
+        names = list(dict.fromkeys(k for h in hits for k in h[2]))
+        labels = [x for x in dict.fromkeys(n for node in nodes(self.node) for n in ([node.label] if isinstance(node, Named) else ["stem5", "loop", "stem3"] if isinstance(node, Hairpin) else []))]
+        bound = [{label: (a, b) for label, a, b in h[3]} for h in hits]
+        at = lambda k: np.array([h[k] for h in hits], np.int64)
+        place = lambda label, k: np.array([b[label][k] if label in b else -1 for b in bound], np.int64)
+        return at(0), at(1), {n: np.array([h[2].get(n, np.nan) for h in hits], float) for n in names}, {x: (place(x, 0), place(x, 1)) for x in labels}
+
+    def hits(self, text: str, first: int = 0, last: int | None = None) -> Found:
+        """Hits in a text."""
+        return self._array(text) if self._array else self.general(text, first, len(text) if last is None else last)
+
+    def of_tile(self, text: str, own: tuple[int, int], base: int, n: int, strand: str) -> tuple[Found, np.ndarray, list[str]]:
+        """Hits of a tile's own starts in forward positions of its text, whether each is forward, and the matched texts.
+
+        A reverse hit belongs to the tile of its last forward letter; one that repeats a palindrome's forward hit is left out.
         """
-        joined = "\0".join(texts)
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts]).tolist()
-        k = 0
-        for i, j, numbers, bound in self.hits(joined):
-            while i >= begins[k + 1]:
-                k += 1
-            start = begins[k]
-            if j < begins[k + 1]:
-                yield k, (i - start, j - start, numbers, [(x, a - start, b - start) for x, a, b in bound])
-            elif i - start < len(texts[k]):
-                yield from ((k, hit) for hit in self.general(texts[k], 0, len(texts[k]), only=i - start))
-
-    def end_at(self, text: str, i: int, first: int, last: int) -> int | None:
-        """Where the first match at one start ends."""
-        return next((j for _, j, _, _ in self.general(text, first, last, only=i)), None)
-
-
-def _has(node, kind: type) -> bool:
-    """Whether a node of a kind is part of a motif."""
-    if isinstance(node, kind):
-        return True
-    inner = getattr(node, "parts", None) or [x for x in (getattr(node, "inner", None), getattr(node, "loop", None)) if x is not None]
-    return any(_has(x, kind) for x in inner)
-
-
-def _anchored(node) -> bool:
-    return _has(node, Edge)
+        size, both = len(text), self.nuc and strand == "both"
+        parts, ahead, texts = [], [], []
+        if strand != "-" or not self.nuc:
+            i, j, numbers, bounds = found = self.hits(text, -base, n - base)
+            mine = np.flatnonzero((own[0] <= i) & (i < own[1]))
+            parts.append((i[mine], j[mine], {k: v[mine] for k, v in numbers.items()}, {k: (a[mine], b[mine]) for k, (a, b) in bounds.items()}))
+            ahead.append(np.ones(len(mine), bool))
+            texts += [text[a:b] for a, b in zip(i[mine].tolist(), j[mine].tolist())]
+        if self.nuc and strand != "+":
+            back = reverse_complement(text)
+            i, j, numbers, bounds = self.hits(back, base + size - n, base + size)
+            a, b = size - j, size - i
+            keep = (own[0] < b) & (b <= own[1])
+            if both:
+                ends = np.full(size + 1, -1, np.int64)
+                ends[found[0]] = found[1]
+                for k in np.flatnonzero(keep & (ends[a] == b)).tolist():
+                    keep[k] = back[i[k] : j[k]] != text[a[k] : b[k]]
+            mine = np.flatnonzero(keep)
+            turned = lambda x: np.where(x < 0, -1, size - x)
+            parts.append((a[mine], b[mine], {k: v[mine] for k, v in numbers.items()}, {k: (turned(y[mine]), turned(x[mine])) for k, (x, y) in bounds.items()}))
+            ahead.append(np.zeros(len(mine), bool))
+            texts += [back[p:q] for p, q in zip(i[mine].tolist(), j[mine].tolist())]
+        names, labels = dict.fromkeys(k for p in parts for k in p[2]), dict.fromkeys(k for p in parts for k in p[3])
+        numbers = {k: np.concatenate([p[2].get(k, np.full(len(p[0]), np.nan)) for p in parts]) for k in names}
+        none = lambda p: np.full(len(p[0]), -1, np.int64)
+        bounds = {k: tuple(np.concatenate([p[3][k][e] if k in p[3] else none(p) for p in parts]) for e in (0, 1)) for k in labels}
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), numbers, bounds), np.concatenate(ahead), texts
 
 
 @lru_cache(maxsize=4096)
-def matcher(source: str, nuc: bool) -> Matcher:
+def kernel(source: str, nuc: bool) -> Kernel:
     """A motif's source compiled, once a Python worker."""
-    from .motif import motif
-
-    return Matcher(motif(source), nuc)
+    return Kernel(motif(source), nuc)
 
 
 @lru_cache(maxsize=4096)
 def taken_up(source: str, nuc: bool):
-    """f(text) -> whether a motif can take up a text as a whole; None for a motif that cannot be read."""
-    from .motif import MotifError, motif
-
-    try:
-        node = motif(source)
-    except MotifError:
-        return None
-    pattern = regex(node, nuc)
-    if pattern is not None:
-        whole = re.compile(pattern)
-        return lambda text: whole.fullmatch(text) is not None
-    step = _steps(node, nuc)
+    """f(text) -> whether a motif can take up a text as a whole."""
+    step = _steps(motif(source), nuc)
     return lambda text: any(j == len(text) for j, _ in step(text, 0, {}, 0, len(text)))

@@ -418,6 +418,53 @@ def columns(node, nuc: bool) -> list[str | None] | None:
     return None
 
 
+def nodes(node):
+    """All nodes of a motif, the outer ones first."""
+    yield node
+    for x in getattr(node, "parts", None) or [x for x in (getattr(node, "inner", None), getattr(node, "loop", None)) if x is not None]:
+        yield from nodes(x)
+
+
+def first_letters(node, nuc: bool) -> str | None:
+    """The letters a match can begin with; None if it may be any, or if there is no telling."""
+    if isinstance(node, (Lit, Codes, Cls)):
+        allowed = columns(node, nuc)
+        return allowed[0] if allowed else None
+    if isinstance(node, Seq):
+        for part in node.parts:
+            if isinstance(part, Edge):
+                continue
+            return first_letters(part, nuc) if span(part)[0] > 0 else None
+        return None
+    if isinstance(node, Alt):
+        each = [first_letters(p, nuc) for p in node.parts]
+        return None if None in each or not each else "".join(sorted(set("".join(each))))
+    if isinstance(node, Rep) and node.lo >= 1 or isinstance(node, Named):
+        return first_letters(node.inner, nuc)
+    if isinstance(node, Hairpin):
+        # A stem's first letter pairs with another, if no mismatch is allowed.
+        return None if node.mismatches or node.lo < 1 else "ACGT"
+    return None
+
+
+def check(source: str, alphabet: str) -> str | None:
+    """What is wrong with a motif for records of an alphabet, for an editor to say; None if nothing is."""
+    try:
+        node = motif(source)
+    except MotifError as e:
+        return str(e)
+    least, most = span(node)
+    if most == 0:
+        return "the motif takes up no letters"
+    for x in nodes(node):
+        if alphabet == "protein" and isinstance(x, (Codes, Hairpin, Pwm)):
+            return f"{show(x)} needs a nucleic sequence"
+        letters = x.text if isinstance(x, (Lit, Edit)) else x.chars if isinstance(x, Cls) else ""
+        if alphabet != "protein" and (odd := next((c for c in letters.upper() if c not in "ACGTUN"), None)):
+            return f"{odd} in {show(x)} is no base"
+    return None
+
+
 def normal(text: str, nuc: bool) -> str:
     """Upper case, and U as T in nucleic acids."""
     return text.upper().replace("U", "T") if nuc else text.upper()

@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.letters import letters
 from ..functions.sequence import guess_type, normalize
-from ..lang.kernels import matcher
 from ..lang.motif import motif
-from ..alphabet import reverse_complement
 from ..session import written
-from .search import WIDEST
+from .search import search
 
 TRIALS = 40
 #: Letters of a surrogate that are drawn and searched in one go, and of all surrogates of one row, if it has several.
@@ -104,104 +102,63 @@ def surrogates(text: str, trials: int, seed: int) -> list[str]:
     return ["".join(pieces) for pieces in zip(*_drawn(_model([text]), len(text), seed, 0, trials))]
 
 
-def _windows(pieces: Iterable[str], n: int, margin: int) -> Iterator[tuple[str, int, int, int, int]]:
-    """(text, first, last, from, to): a text of n letters with ``margin`` letters around the starts from-to that each part owns; first and last are where the whole begins and ends."""
-    held, base, done = "", 0, 0
-    for piece in pieces:
-        held += piece
-        got = base + len(held)
-        upto = n if got == n else got - margin
-        if upto > done:
-            yield held, -base, n - base, done - base, upto - base
-            done = upto
-            drop = max(0, done - margin - base)
-            held, base = held[drop:], base + drop
-
-
-def _count(m, text: str, nuc: bool, first: int = 0, last: int | None = None, lo: int = 0, hi: int | None = None) -> int:
-    """Hits that begin at lo to hi; a reverse hit begins at its last forward letter."""
-    n = len(text)
-    last, hi = n if last is None else last, n if hi is None else hi
-    found = {(i, j, text[i:j]) for i, j, _, _ in m.hits(text, first, last)}
-    total = sum(lo <= i < hi for i, _, _ in found)
-    if nuc:
-        back = reverse_complement(text)
-        total += sum(lo < n - i <= hi and (n - j, n - i, back[i:j]) not in found for i, j, _, _ in m.hits(back, n - last, n - first))
-    return total
-
-
-def _counted(m, pieces: Iterable[str], n: int, nuc: bool) -> int:
-    """Hits of a text of n letters that comes in pieces; motifs without a bound of width are searched in the whole text."""
-    margin = m.span[1] if m.span[1] is not None and m.span[1] <= WIDEST else n
-    return sum(_count(m, text, nuc, *where) for text, *where in _windows(pieces, n, int(margin)))
-
-
-_MODEL = "_row long, _nuc boolean, _seed long, _n long, observed long, _used string, _every array<long>, _follows array<long>"
-
-
-def _models(source: str):
-    """Records -> what their surrogates are drawn from, and the hits observed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in range(batch.num_rows):
-                number, kind, seed, text = (batch.column(c)[row].as_py() for c in range(1, 5))
-                nuc, n = kind in ("dna", "rna"), len(text)
-                cut = [text[i : i + PIECE] for i in range(0, n, PIECE)]
-                rows.append((number, nuc, seed, n, _counted(matcher(source, nuc), cut, n, nuc), *_model(cut)))
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["record_id", *(x.split()[0] for x in _MODEL.split(", "))])
-
-    return run
-
-
-def _trials(source: str):
-    """Rows of some trials of a record -> the hits on each of their surrogates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
-            counts = []
-            for nuc, seed, n, used, every, follows, first, trials in rows:
-                m = matcher(source, nuc)
-                if n <= PIECE:
-                    texts = next(_drawn((used, every, follows), n, seed, first, trials))
-                    counts.append([_count(m, text, nuc) for text in texts])
-                else:
-                    counts.append([_counted(m, (x for x, in _drawn((used, every, follows), n, seed, t, 1)), n, nuc) for t in range(first, first + trials)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.list_(pa.int64()))], names=["record_id", "_row", "counts"])
-
-    return run
+_MODEL = "_row long, _nuc boolean, _seed long, _n long, _used string, _every array<long>, _follows array<long>"
+
+
+def _models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records -> what their surrogates are drawn from, a small row however long the record."""
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    for batch in batches:
+        rows = [(number, nuc, seed, len(text), *_model(text[i : i + PIECE] for i in range(0, len(text), PIECE))) for number, nuc, seed, text in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=[x.split()[0] for x in _MODEL.split(", ")])
+
+
+def _surrogates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of some trials of a record -> a row for each surrogate."""
+    for batch in batches:
+        for row, nuc, seed, n, used, every, follows, first, trials in zip(*(c.to_pylist() for c in batch.columns)):
+            texts = ["".join(pieces) for pieces in zip(*_drawn((used, every, follows), n, seed, first, trials))]
+            columns = [pa.array([row] * trials, pa.int64()), pa.array(range(first, first + trials), pa.int32()), pa.array(["dna" if nuc else "protein"] * trials), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "_trial", "type", "seq"])
+
+
+def surrogate_records(models: DataFrame, trials: int) -> DataFrame:
+    """(_row, _trial, type, seq): ``trials`` surrogates of each record, those of long records spread over tasks."""
+    several = F.least(F.greatest(F.floor(F.lit(TOGETHER) / F.col("_n")), F.lit(1)), F.lit(trials)).cast("int")
+    d = models.withColumn("_several", several).withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.col("_several"))))
+    d = d.select("_row", "_nuc", "_seed", "_n", "_used", "_every", "_follows", "_first", F.least("_several", F.lit(trials) - F.col("_first")).alias("_several"))
+    parts = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, "_row", "_first").mapInArrow(_surrogates, "_row long, _trial int, type string, seq string")
+
+
+def _counts(records: DataFrame, source: str, by: list[str]) -> DataFrame:
+    """(by, hits) of the records that have any."""
+    as_records = records.select(F.struct(*by).alias("record_id"), F.lit("").alias("name"), F.lit(0).alias("offset"), "type", "seq")
+    return search(as_records, source).groupBy("record_id").agg(F.count(F.lit(1)).alias("hits")).select("record_id.*", "hits")
 
 
 def background(records: DataFrame, source: str, trials: int = TRIALS, longest: int | None = None) -> DataFrame:
     """(record_id, observed, expected, trials, low, high, empirical_p): hits on each record against its surrogates.
 
-    ``low`` and ``high`` are the order statistics at 5 and 95 percent, without interpolation.  Records without letters give no row, nor, where
-    ``longest`` is set, do longer ones.  The trials of long records are spread over tasks; each surrogate is drawn and searched in pieces.
+    The surrogates are rows like any records and go through the same search. ``low`` and ``high`` are the order statistics at 5 and 95 percent,
+    without interpolation.  Records without letters give no row, nor, where ``longest`` is set, do longer ones.
     """
     motif(source)
     kind = F.coalesce(F.col("type"), guess_type(F.col("seq")))
-    r = records.select("record_id", F.monotonically_increasing_id().alias("_row"), kind.alias("_kind"), F.xxhash64("record_id").alias("_seed"), normalize(letters(F.col("seq")), kind).alias("_t"))
-    r = r.where(F.length("_t") > 0)
-    if longest is not None:
-        r = r.where(F.length("_t") <= longest)
-    key = f"record_id {records.schema['record_id'].dataType.simpleString()}"
-    # Each record is read once; what its surrogates are drawn from is a small row, however long the record.
-    models = written(r.repartition(F.col("record_id")).mapInArrow(_models(source), f"{key}, {_MODEL}"), "background")
-    several = F.least(F.greatest(F.floor(F.lit(TOGETHER) / F.col("_n")), F.lit(1)), F.lit(trials)).cast("int")
-    drawn = models.drop("observed").withColumn("_several", several).withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.col("_several"))))
-    drawn = drawn.select("record_id", "_row", "_nuc", "_seed", "_n", "_used", "_every", "_follows", "_first", F.least("_several", F.lit(trials) - F.col("_first")).alias("_several"))
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = drawn.repartition(parts, "_row", "_first").mapInArrow(_trials(source), f"{key}, _row long, counts array<long>")
-    drawn = drawn.groupBy("_row").agg(F.flatten(F.collect_list("counts")).alias("counts")).join(models.select("record_id", "_row", "observed"), "_row")
-    ordered = F.array_sort("counts")
+    r = records.select("record_id", F.xxhash64("record_id").alias("_seed"), kind.isin("dna", "rna").alias("_nuc"), normalize(letters(F.col("seq")), kind).alias("seq"))
+    # Numbered once, so that all that is made of a record meets again.
+    r = written(r.where(F.length("seq").between(1, longest if longest is not None else 2**31 - 1)).withColumn("_row", F.monotonically_increasing_id()), "background")
+    models = written(r.repartition(F.col("_row")).select("_row", "_nuc", "_seed", "seq").mapInArrow(_models, _MODEL), "background-models")
+    observed = _counts(r.withColumn("type", F.when(F.col("_nuc"), "dna").otherwise("protein")), source, ["_row"]).withColumnRenamed("hits", "observed")
+    drawn = _counts(surrogate_records(models, trials), source, ["_row", "_trial"]).groupBy("_row").agg(F.collect_list("hits").alias("_hits"))
+    j = r.select("record_id", "_row").join(observed, "_row", "left").join(drawn, "_row", "left")
+    # Trials without a hit have no row.
+    some = F.coalesce("_hits", F.array().cast("array<long>"))
+    j = j.select("record_id", F.coalesce("observed", F.lit(0)).alias("observed"), F.array_sort(F.concat(F.array_repeat(F.lit(0).cast("long"), F.lit(trials) - F.size(some)), some)).alias("counts"))
     at = lambda q: int(np.floor((trials - 1) * q)) if q < 0.5 else int(np.ceil((trials - 1) * q))
-    return drawn.select(
+    return j.select(
         "record_id", "observed", (F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) / trials).alias("expected"), F.lit(trials).alias("trials"),
-        F.element_at(ordered, at(0.05) + 1).alias("low"), F.element_at(ordered, at(0.95) + 1).alias("high"),
+        F.element_at("counts", at(0.05) + 1).alias("low"), F.element_at("counts", at(0.95) + 1).alias("high"),
         ((F.size(F.filter("counts", lambda x: x >= F.col("observed"))) + 1) / (trials + 1)).alias("empirical_p"),
     )
 

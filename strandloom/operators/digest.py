@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.letters import letters
 from ..functions.sequence import band_opacity, band_thickness, guess_type, migration
-from ..lang.motif import MotifError
 from ..session import written
 from .intervals import gaps_between
-from .search import search
+from .search import located_hits
 
 #: The rungs of a common size ladder.
 LADDER = [10000, 8000, 6000, 5000, 4000, 3000, 2500, 2000, 1500, 1000, 750, 500, 250, 100]
@@ -22,12 +21,10 @@ def nucleic(records: DataFrame) -> DataFrame:
     return records.where(kind.isin("dna", "rna") & (letters(F.col("seq")) != ""))
 
 
-def _enzymes(enzymes: DataFrame, most: int = 10_000) -> list[tuple[str, str]]:
-    """Names and sites, the dimension the search is compiled from."""
-    rows = enzymes.where(F.col("name").isNotNull() & (F.col("site") != "")).select("name", "site").orderBy("name").limit(most + 1).collect()
-    if len(rows) > most:
-        raise MotifError(f"more than {most} enzymes")
-    return [(name, f'(iupac "{site}")') for name, site in rows]
+def site_motifs(enzymes: DataFrame) -> DataFrame:
+    """Sites as a table of motifs."""
+    named = enzymes.where(F.col("name").isNotNull() & (F.col("site") != ""))
+    return named.select("name", F.concat(F.lit('(iupac "'), "site", F.lit('")')).alias("expr"), F.lit("dna").alias("alphabet"))
 
 
 def cut_sites(records: DataFrame, enzymes: DataFrame, circular: bool = False) -> DataFrame:
@@ -36,14 +33,11 @@ def cut_sites(records: DataFrame, enzymes: DataFrame, circular: bool = False) ->
     Palindromic sites count once.  On linear records a top cut outside of the record drops the site; on circular ones it
     wraps around (the bottom cut doesn't).  Sites across the origin of a circle are not found.  Records without letters give no row.
     """
-    r = nucleic(records)
-    hits = search(r, _enzymes(enzymes)).select("record_id", F.col("motif").alias("enzyme"), "start", "end", "strand")
-    # Both are dimensions of bounded size.
-    e = F.broadcast(enzymes.select(F.col("name").alias("enzyme"), F.col("cut_top").alias("_t"), F.col("cut_bottom").alias("_b")))
+    hits = located_hits(records, site_motifs(enzymes)).select("record_id", F.col("motif").alias("enzyme"), "start", "end", "strand", "n")
+    e = enzymes.select(F.col("name").alias("enzyme"), F.col("cut_top").alias("_t"), F.col("cut_bottom").alias("_b"))
     forward = F.col("strand") == "+"
     sites = hits.join(e, "enzyme").withColumn("cut_top", F.when(forward, F.col("start") + F.col("_t")).otherwise(F.col("end") - F.col("_b")))
     sites = sites.withColumn("cut_bottom", F.when(forward, F.col("start") + F.col("_b")).otherwise(F.col("end") - F.col("_t"))).drop("_t", "_b")
-    sites = sites.join(r.select("record_id", F.length(letters(F.col("seq"))).cast("long").alias("n")), "record_id")
     if circular:
         sites = sites.withColumn("cut_top", F.pmod(F.col("cut_top"), F.col("n")))
     else:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.letters import letters
-from ..lang.motif import MotifError, Symbol, build, label_of, options, read_all, show
-from .search import search, usable_motifs
+from ..lang.motif import MotifError, Pwm, Symbol, build, label_of, motif, nodes, options, read_all, show, span
+from .search import located_hits, search
 
 # The categories that imply an alphabet, and the words a request is not ranked by.
 PROTEIN_CATEGORIES = ["protein", "targeting", "modification", "protease", "tag", "domain", "binding-site", "catalytic", "degradation", "linker"]
@@ -80,7 +83,7 @@ def load_library(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[Dat
 def natural_key(name: Column) -> Column:
     """A sort key in which numbers count by value: every run of digits without leading zeros behind its own length."""
     marked = F.regexp_replace(F.lower(name), r"(\d+)", "\u0001$1\u0001")
-    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p))
+    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(F.ltrim(p, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(p, F.lit("0")))).otherwise(p))
     return F.array_join(parts, "")
 
 
@@ -136,15 +139,37 @@ def newest_versions(library: DataFrame) -> DataFrame:
     return library.withColumn("_first", first).where(F.col("_first") == 1).select(stem.alias("stem"), "name", "version")
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for source in batch.column(1).to_pylist():
+            try:
+                node = motif(source)
+                again = motif(show(node)) if not any(isinstance(x, Pwm) for x in nodes(node)) else node
+                rows.append((show(node), *span(node), show(again) == show(node), None))
+            except MotifError as e:
+                rows.append((None, None, None, None, str(e)))
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds))], names=["name", "canonical", "least", "greatest", "reads_back", "error"])
+
+
+def readings(library: DataFrame) -> DataFrame:
+    """(name, canonical, least, greatest, reads_back, error): how each motif reads, and whether its canonical text reads back the same.
+
+    Entries without a name or text are left out; a matrix shows as a summary, which isn't read back.
+    """
+    m = library.where(F.col("name").isNotNull() & F.col("expr").isNotNull()).select("name", "expr")
+    return m.mapInArrow(_read, "name string, canonical string, least int, greatest int, reads_back boolean, error string")
+
+
 def check_examples(library: DataFrame) -> DataFrame:
-    """(name, hits, matched) of every usable motif with an example: whether its own example contains it."""
-    good, _ = usable_motifs(library.withColumn("scan", F.lit(True)), enzymes=True)
-    shown = library.where(F.coalesce("example", F.lit("")) != "")
-    kind = F.when(F.lower("alphabet") == "protein", "protein").otherwise(F.coalesce("alphabet", F.lit("dna")))
+    """(name, hits, matched) of every readable motif with an example: whether its own example contains it. Each example only meets its own motif."""
+    good = readings(library).where(F.col("error").isNull()).select("name")
+    shown = library.where((F.coalesce("example", F.lit("")) != "") & F.col("name").isNotNull()).join(good, "name", "left_semi")
+    kind = F.when(F.lower("alphabet") == "protein", "protein").otherwise(F.coalesce(F.lower("alphabet"), F.lit("dna")))
     as_records = shown.select(F.col("name").alias("record_id"), "name", kind.alias("type"), F.lit(0).alias("offset"), F.col("example").alias("seq"))
-    hits = search(as_records, good).where(F.col("motif") == F.col("record_id")).groupBy("record_id").agg(F.count(F.lit(1)).alias("_h"))
-    named = shown.join(F.broadcast(library.sparkSession.createDataFrame([(g[0],) for g in good], "name string")), "name", "left_semi")
-    counted = named.join(hits, named["name"] == hits["record_id"], "left")
+    hits = located_hits(as_records, library, own=True).groupBy("record_id").agg(F.count(F.lit(1)).alias("_h"))
+    counted = shown.join(hits, shown["name"] == hits["record_id"], "left")
     return counted.select("name", F.coalesce("_h", F.lit(0)).alias("hits"), F.coalesce(F.col("_h") > 0, F.lit(False)).alias("matched"))
 
 

@@ -11,7 +11,7 @@ from ..alphabet import IUPAC, STARTS
 from ..functions import identifiers as ids
 from ..functions import sequence as seqs
 from ..functions.letters import letters
-from ..lang.motif import motif, show, span
+from ..lang.motif import motif
 from ..operators import background as chance
 from ..operators import digest as dig
 from ..operators import library as lib
@@ -20,7 +20,7 @@ from ..operators import pwm
 from ..operators.background import calibrated_thresholds
 from ..operators.hits import band_join, clusters, collapse, count_places, coverage, elided, non_overlapping, overlapping_any, summary
 from ..operators.intervals import match_periods
-from ..operators.search import absolute, first_hits, full_match, scan, search, usable_motifs, whole_matches
+from ..operators.search import absolute, first_hits, full_match, scan, search, whole_matches
 from ..sources import export, text
 from ..streaming.hits import run_to_table, stream_of, windowed_counts
 from ..tables import table
@@ -391,10 +391,8 @@ def library_scan_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("unreadable_motifs")
 def unreadable_motifs(spark: SparkSession, d: str) -> DataFrame:
-    """How each motif of the library reads: its canonical text and the bounds of its width."""
-    good, bad = usable_motifs(table(spark, d, "motif_library").withColumn("scan", F.lit(True)))
-    rows = [(n, show(motif(e)), *span(motif(e)), None) for n, e, _ in good] + [(n, None, None, None, m) for n, m in bad]
-    return spark.createDataFrame(rows, "name string, canonical string, least int, greatest int, error string")
+    """How each motif of the library reads: its canonical text, the bounds of its width, or the error."""
+    return lib.readings(table(spark, d, "motif_library"))
 
 
 # ---------------------------------------------------------------- match tables

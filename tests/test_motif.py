@@ -5,12 +5,20 @@ import random
 import pytest
 
 from strandloom.alphabet import reverse_complement
-from strandloom.lang.kernels import matcher
-from strandloom.lang.motif import Edge, Lit, MotifError, Pwm, balanced, motif, read, read_all, show, span
+from strandloom.lang.kernels import kernel
+from strandloom.lang.motif import Edge, Lit, MotifError, Pwm, balanced, check, first_letters, motif, read, read_all, show, span
+
+
+def rows(found):
+    """Arrays of hits as rows (start, end, numbers, sorted bindings)."""
+    i, j, numbers, bounds = found
+    return [
+        (int(i[k]), int(j[k]), {n: float(v[k]) for n, v in numbers.items() if v[k] == v[k]}, sorted((x, int(a[k]), int(b[k])) for x, (a, b) in bounds.items() if a[k] >= 0)) for k in range(len(i))
+    ]
 
 
 def hits(source, text, nuc=True):
-    return [(i, j) for i, j, _, _ in matcher(source, nuc).hits(text)]
+    return [h[:2] for h in rows(kernel(source, nuc).general(text, 0, len(text)))]
 
 
 def test_reader():
@@ -74,7 +82,7 @@ def test_weight_matrix():
     assert node.consensus() == "TATAAA"
     quoted = motif("(pwm-from-sites '(\"TATAAA\" \"TATAAT\"))")
     assert quoted.width == 6
-    (hit,) = matcher('(pwm-from-sites ("TATAAA" "TATAAT") :threshold 0.95)', True).hits("GGTATAAAGG")
+    (hit,) = rows(kernel('(pwm-from-sites ("TATAAA" "TATAAT") :threshold 0.95)', True).hits("GGTATAAAGG"))
     assert hit[:2] == (2, 8)
     assert set(hit[2]) == {"score", "relative"}
 
@@ -83,7 +91,7 @@ def test_captures_and_names():
     named = {"box": motif('"TTGAC"')}
     node = motif("(seq (named 'a \"AC\") (gap 1 2) (named 'b (iupac \"NN\")))")
     assert show(node) == "(seq (named 'a \"AC\") (gap 1 2) (named 'b (iupac \"NN\")))"
-    assert [b for *_, b in matcher(show(node), True).hits("ACGTTA")] == [[("a", 0, 2), ("b", 4, 6)]]
+    assert [b for *_, b in rows(kernel(show(node), True).hits("ACGTTA"))] == [[("a", 0, 2), ("b", 4, 6)]]
     assert motif("box", named) == Lit("TTGAC")
     assert motif("at-end") == Edge(True)
 
@@ -108,10 +116,9 @@ def random_motif(draw, depth=0):
 def test_fast_ways_equal_backtracking():
     draw = random.Random(11)
     for _ in range(3000):
-        m = matcher(random_motif(draw), True)
+        m = kernel(random_motif(draw), True)
         text = "".join(draw.choice("ACGTN") for _ in range(draw.randint(0, 25)))
-        fast, slow = list(m.hits(text)), list(m.general(text, 0, len(text)))
-        assert [(h[:3], sorted(h[3])) for h in fast] == [(h[:3], sorted(h[3])) for h in slow]
+        assert rows(m.hits(text)) == rows(m.general(text, 0, len(text)))
 
 
 def test_reverse_complement():
@@ -119,14 +126,25 @@ def test_reverse_complement():
     assert reverse_complement("AAUU") == "AAUU"
 
 
-def test_texts_end_to_end_equal_texts_alone():
-    draw = random.Random(12)
-    tried = 0
-    while tried < 1500:
-        m = matcher(random_motif(draw), draw.random() < 0.8)
-        if not m.joinable:
-            continue
-        tried += 1
-        texts = ["".join(draw.choice("ACGTN") for _ in range(draw.randint(0, 14))) for _ in range(draw.randint(1, 6))]
-        together = [(k, h[:3], sorted(h[3])) for k, h in m.hits_of_many(texts)]
-        assert together == [(k, h[:3], sorted(h[3])) for k, t in enumerate(texts) for h in m.general(t, 0, len(t))]
+def test_first_letters():
+    say = lambda source, nuc=True: first_letters(motif(source), nuc)
+    assert say('(seq at-start (alt "AC" (iupac "RY")) "T")') == "AG"
+    assert say('(opt "A")') is None
+    assert say('(seq (opt "A") "C")') is None
+    assert say("any") is None
+    assert say('(seq (run "CT" 2 5) "G")') == "CT"
+    draw = random.Random(13)
+    for _ in range(1500):
+        source = random_motif(draw)
+        allowed = first_letters(motif(source), True)
+        text = "".join(draw.choice("ACGT") for _ in range(20))
+        assert allowed is None or all(text[i] in allowed for i, _ in hits(source, text))
+
+
+def test_checks_for_editors():
+    assert check('(iupac "RY")', "dna") is None
+    assert "missing" in check('(seq "A"', "dna")
+    assert "nucleic" in check('(iupac "RY")', "protein")
+    assert "no base" in check('"AXC"', "dna")
+    assert check('"AXC"', "protein") is None
+    assert "no letters" in check("at-start", "dna")

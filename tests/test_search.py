@@ -1,15 +1,18 @@
 """Searches on tables against the backtracking matcher on whole strands."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.alphabet import reverse_complement
-from strandloom.lang.kernels import backtracking
+from strandloom.lang.kernels import backtracking, kernel
 from strandloom.lang.motif import MotifError, motif
 from strandloom.operators.search import absolute, first_hits, scan, search, usable_motifs, whole_matches
 
+from test_motif import random_motif
+
 SCHEMA = "record_id long, name string, type string, offset long, seq string, tile long, _t string"
 RECORDS = [
     (1, "a", "dna", 10, "TTACGTTTgaattcTTTGACAttgacaTATAATCCGGGGCCTTTTGGCCCC", 1, "x"), (2, "b", "rna", None, "AUGGCU UAAGAAUUCNNNNACGU", 1, "x"), (3, "c", "protein", 5, "MNGSAANPSAANKTQ", 1, "x"),
@@ -39,6 +42,37 @@ def test_every_hit_once(spark, source, tile):
     assert sorted((r.record_id, r.start, r.end, r.strand, r.match) for r in hits.collect()) == brute(source)
 
 
+@pytest.mark.parametrize("tile", [5, 1 << 10])
+def test_a_table_of_random_motifs_equals_backtracking(spark, tile):
+    draw = random.Random(17 + tile)
+    sources = sorted({random_motif(draw) for _ in range(150)})
+    texts = ["".join(draw.choice("ACGTN") for _ in range(draw.randint(1, 30))) for _ in range(12)] + ["ACGT" * 40, "GATC" * 30 + "AAAA"]
+    records = spark.createDataFrame([(i, "r", "dna", 0, t) for i, t in enumerate(texts)], "record_id long, name string, type string, offset long, seq string")
+    motifs = spark.createDataFrame([(str(k), s, "dna") for k, s in enumerate(sources)] + [("bad", "(seq", None)], "name string, expr string, alphabet string")
+    found = {}
+    for r in search(records, motifs, tile=tile).collect():
+        bound = sorted((b.label, b.start, b.end, b.text) for b in r.bindings)
+        found.setdefault((int(r.motif), r.record_id), []).append((r.start, r.end, r.strand, r.match, dict(r.extra), bound))
+    for k, source in enumerate(sources):
+        for i, text in enumerate(texts):
+            n = len(text)
+            (a, b, numbers, bounds), ahead, shown = kernel(source, True).of_tile(text, (0, n), 0, n, "both")
+            want = []
+            for x in range(len(shown)):
+                read = lambda p, q, x=x: text[p:q] if ahead[x] else reverse_complement(text[p:q])
+                bound = sorted((label, int(p[x]), int(q[x]), read(p[x], q[x])) for label, (p, q) in bounds.items() if p[x] >= 0)
+                want.append((int(a[x]), int(b[x]), "+" if ahead[x] else "-", shown[x], {m: v[x] for m, v in numbers.items() if v[x] == v[x]}, bound))
+            assert sorted(found.get((k, i), []), key=str) == sorted(want, key=str), (source, text)
+
+
+def test_regular_motifs_stay_in_the_jvm(spark):
+    df = spark.createDataFrame(RECORDS, SCHEMA)
+    for source in ('"GAATTC"', '(iupac "TATAWAWR")', '(seq (fuzzy 1 "TTGACA") (gap 15 19) (fuzzy 1 "TATAAT"))', '(seq (named \'x "GG") "AA")', '(regex "TT+G")', '(n-terminal (iupac "NN"))'):
+        plan = search(df, source)._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan and "Exchange" not in plan.replace("ENSURE", "") or "regex" in source
+    assert "MapInArrow" in search(df, '(edit 1 "GAATTC")')._jdf.queryExecution().executedPlan().toString()
+
+
 def test_strands_offsets_and_bindings(spark):
     df = spark.createDataFrame([(1, "a", "dna", 100, "TTTTGGAAC")], "record_id long, name string, type string, offset long, seq string")
     assert [(r.start, r.end, r.strand) for r in search(df, '"AAAA"').collect()] == [(0, 4, "-")]

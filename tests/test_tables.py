@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.alphabet import STARTS, codons, reverse_complement
-from strandloom.lang.kernels import matcher
+from strandloom.lang.kernels import kernel
 from strandloom.operators import background as chance
+from strandloom.operators.search import search
 from strandloom.operators import digest as dig
 from strandloom.operators import library as lib
 from strandloom.operators import orfs as frames
@@ -138,12 +139,12 @@ def test_surrogates_step_by_step():
 
 
 @pytest.mark.parametrize("source", ['"CACGTG"', '(seq "GGA" (gap 2 10) "GGGC")', '(n-terminal (iupac "ANN"))', '(c-terminal (iupac "NNT"))', "(hairpin (stem 4 5) (loop 3 4))", '(fuzzy 1 "CACGTG")'])
-def test_counts_in_pieces(source):
+def test_counts_in_pieces(spark, source):
     draw = random.Random(5)
     text = "".join(draw.choice("ACGGT") for _ in range(3000))
-    m = matcher(source, True)
-    for size in (1, 50, 700):
-        assert chance._counted(m, [text[i : i + size] for i in range(0, 3000, size)], 3000, True) == chance._count(m, text, True)
+    _, ahead, _ = kernel(source, True).of_tile(text, (0, 3000), 0, 3000, "both")
+    for size in (50, 700):
+        assert search(records(spark, text), source, tile=size).count() == len(ahead)
 
 
 def test_thresholds(spark):
