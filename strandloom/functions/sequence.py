@@ -89,17 +89,17 @@ def translate(seq: Column, table: int = 1, frame: int = 0, to_stop: bool = False
     return F.substring_index(amino, "*", 1) if to_stop else amino
 
 
-def expand_iupac(pattern: Column, most: int = 4096) -> Column:
-    """All plain sequences a degenerate pattern stands for, first position slowest.
+def expand_iupac(pattern: Column, most: int | None = None) -> Column:
+    """All plain sequences a degenerate pattern stands for, first position slowest; letters that aren't codes stay.
 
-    Past ``most`` sequences the remaining positions are left out; letters that aren't codes stay.
+    With ``most`` the positions that follow more than so many sequences are left out, which gives beginnings only.
     """
     bases = F.create_map(*[F.lit(x) for k, v in IUPAC.items() for x in (k, v)])
     letters = F.filter(F.split(F.upper(pattern), ""), lambda c: c != "")
     return F.aggregate(
         letters,
         F.array(F.lit("")),
-        lambda acc, c: F.when(F.size(acc) > most, acc).otherwise(
+        lambda acc, c: F.when(F.size(acc) > (most if most is not None else 2**31 - 1), acc).otherwise(
             F.flatten(F.transform(acc, lambda head: F.transform(F.filter(F.split(F.coalesce(F.try_element_at(bases, c), c), ""), lambda b: b != ""), lambda b: F.concat(head, b))))
         ),
     )

@@ -16,6 +16,8 @@ from ..session import written
 from .search import search
 
 TRIALS = 40
+#: Ranges of scores that are counted before any are put in order.
+RANGES = 1024
 #: Letters of a surrogate that are drawn and searched in one go, and of all surrogates of one row, if it has several.
 PIECE, TOGETHER = 1 << 17, 1 << 18
 
@@ -190,9 +192,16 @@ def calibrated_thresholds(scores: DataFrame, rate: float = 1e-4) -> DataFrame:
     Null and NaN scores are left out.
     """
     s = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("motif").isNotNull())
-    by = W.partitionBy("motif")
-    n = s.groupBy("motif", "score").agg(F.count(F.lit(1)).alias("_n"))
-    n = n.withColumn("_below", F.sum("_n").over(by.orderBy("score"))).withColumn("scores", F.sum("_n").over(by))
-    reached = n.where(F.col("_below") >= F.ceil(F.col("scores") * (1 - F.lit(rate))))
-    at = reached.groupBy("motif", "scores").agg(F.min(F.struct("score", "_below", "_n")).alias("_t"))
+    n = s.groupBy("motif", F.col("score").cast("double").alias("score")).agg(F.count(F.lit(1)).alias("_n"))
+    # Ranges of each motif's scores are counted first; only the range that holds the quantile is put in order.
+    bounds = n.groupBy("motif").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("_n").alias("scores"))
+    n = n.join(bounds, "motif")
+    share = F.when((F.col("_hi") > F.col("_lo")) & (F.col("_hi") - F.col("_lo") < float("inf")), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    n = n.withColumn("_range", F.least((share * RANGES).cast("int"), F.lit(RANGES - 1)))
+    upto = W.partitionBy("motif").orderBy("_range")
+    filled = n.groupBy("motif", "scores", "_range").agg(F.sum("_n").alias("_m")).withColumn("_upto", F.sum("_m").over(upto))
+    wanted = F.ceil(F.col("scores") * (1 - F.lit(rate)))
+    held = filled.where((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_m") < wanted)).select("motif", "_range", (F.col("_upto") - F.col("_m")).alias("_earlier"))
+    inside = n.join(held, ["motif", "_range"]).withColumn("_below", F.col("_earlier") + F.sum("_n").over(W.partitionBy("motif").orderBy("score")))
+    at = inside.where(F.col("_below") >= wanted).groupBy("motif", "scores").agg(F.min(F.struct("score", "_below", "_n")).alias("_t"))
     return at.select("motif", "scores", F.col("_t.score").alias("threshold"), ((F.col("scores") - F.col("_t._below") + F.col("_t._n")) / F.col("scores")).alias("achieved"))

@@ -2,49 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .intervals import islands, merge_intervals
 
 
-def _fold(rows: Column, clash) -> Column:
-    """Go through sorted rows and keep a list whose last one may be replaced: ``clash(last, row)`` says keep, replace or drop."""
-    empty = F.filter(rows, lambda x: F.lit(False))
-
-    def step(kept: Column, row: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        what = clash(last, row)
-        head = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-        return F.when(F.size(kept) == 0, F.array(row)).when(what == "keep", F.concat(kept, F.array(row))).when(what == "replace", F.concat(head, F.array(row))).otherwise(kept)
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Go through sorted hits and keep disjoint ones; of two that clash the one of the greater value, of equal ones the earlier.
 
-    return F.aggregate(rows, empty, step)
+    Only the last kept hit can clash with the next, so it is all that is held. ``_first`` begins a run of its own.
+    """
+    held, end, value = None, 0, 0.0
+    for batch in batches:
+        first, start, stop, worth = (batch.column(c).to_pylist() for c in ("_first", "_s", "_e", "_value"))
+        kept, at = [], None  # rows of this batch that stay; the last one may still be replaced
+        for i in range(batch.num_rows):
+            if not first[i] and start[i] < end:
+                if worth[i] <= value:
+                    continue
+            elif at is not None:
+                kept.append(at)
+            elif held is not None:
+                yield held
+            at, held, end, value = i, None, stop[i], worth[i]
+        if kept:
+            yield batch.take(pa.array(kept, pa.int32()))
+        if at is not None:
+            held = batch.slice(at, 1)
+    if held is not None:
+        yield held
+
+
+def _folded(d: DataFrame, keys: list[str], value: Column, more: list[Column]) -> DataFrame:
+    """Distinct hits (keys, _s, _e, more) folded: islands of overlapping hits are spread over tasks, each goes by in order as a stream."""
+    d = islands(d.distinct(), keys, "_s", "_e").where(F.col("island").isNotNull())
+    order = W.partitionBy(*keys, "island").orderBy("_s", (F.col("_s") - F.col("_e")).asc(), *more)
+    d = d.withColumn("_value", value).withColumn("_first", F.row_number().over(order) == 1)
+    return d.mapInArrow(_fold, d.schema)
 
 
 def collapse(hits: DataFrame, by: list[str], key: str = "longest") -> DataFrame:
     """Of overlapping hits of one motif and strand keep one: the longest, or with ``key`` best the one of the highest score (null and NaN are 0).
 
     ``by`` names the entity (a record or sequence); hits of different entities never meet.  Kept hits stay disjoint and
-    sorted, so only the last kept one can clash.  Hits that overlap through others are folded together,
-    one island at a time.  Gives (by, motif, strand, start, end, score); rows with null in by, motif, strand, start or end are left out.
+    sorted, so only the last kept one can clash.  Gives (by, motif, strand, start, end, score), a NaN score as null; rows with null in
+    by, motif, strand, start or end are left out.
     """
     keys = [*by, "motif", "strand"]
-    d = islands(hits.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "score"), keys, "start", "end").where(F.col("island").isNotNull())
-    # Sorted by start, then the longest first; equal rows are one.
-    row = F.struct(F.col("start"), (-(F.col("end") - F.col("start"))).alias("neg"), F.col("end"), F.col("score"))
-    rows = F.array_sort(F.collect_set(row))
-
-    def clash(last: Column, x: Column) -> Column:
-        apart = last["end"] <= x["start"]
-        if key == "longest":
-            better = x["end"] - x["start"] > last["end"] - last["start"]
-        else:
-            number = lambda c: F.nanvl(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))
-            better = number(x["score"]) > number(last["score"])
-        return F.when(apart, "keep").when(better, "replace").otherwise("drop")
-
-    kept = d.groupBy(*keys, "island").agg(_fold(rows, clash).alias("_kept"))
-    return kept.select(*keys, F.explode("_kept").alias("_x")).select(*keys, "_x.start", "_x.end", "_x.score")
+    score = F.col("score").cast("double")
+    d = hits.select(*keys, F.col("start").cast("long").alias("_s"), F.col("end").cast("long").alias("_e"), F.when(~F.isnan(score), score).alias("score"))
+    if key == "longest":
+        d = d.groupBy(*keys, "_s", "_e").agg(F.max("score").alias("score"))
+    value = (F.col("_e") - F.col("_s")).cast("double") if key == "longest" else F.coalesce("score", F.lit(0.0))
+    kept = _folded(d, keys, value, [F.col("score").asc_nulls_last()])
+    return kept.select(*keys, F.col("_s").alias("start"), F.col("_e").alias("end"), "score")
 
 
 def non_overlapping(hits: DataFrame, by: list[str]) -> DataFrame:
@@ -53,14 +68,11 @@ def non_overlapping(hits: DataFrame, by: list[str]) -> DataFrame:
     Gives (by, motif, strand, start, end).
     """
     keys = [*by, "motif", "strand"]
-    d = islands(hits.select(*keys, "start", "end"), keys, "start", "end").where(F.col("island").isNotNull())
     forward = F.col("strand") != "-"
     # Reverse hits are read from the end: negated and swapped.
-    row = F.struct(F.when(forward, F.col("start")).otherwise(-F.col("end")).alias("start"), F.when(forward, F.col("end")).otherwise(-F.col("start")).alias("end"))
-    rows = F.array_sort(F.collect_set(row))
-    kept = d.groupBy(*keys, "island").agg(_fold(rows, lambda last, x: F.when(last["end"] <= x["start"], "keep").otherwise("drop")).alias("_kept"))
-    x = kept.select(*keys, F.explode("_kept").alias("_x"))
-    return x.select(*keys, F.when(forward, F.col("_x.start")).otherwise(-F.col("_x.end")).alias("start"), F.when(forward, F.col("_x.end")).otherwise(-F.col("_x.start")).alias("end"))
+    d = hits.select(*keys, F.when(forward, F.col("start")).otherwise(-F.col("end")).cast("long").alias("_s"), F.when(forward, F.col("end")).otherwise(-F.col("start")).cast("long").alias("_e"))
+    kept = _folded(d, keys, F.lit(0.0), [])
+    return kept.select(*keys, F.when(forward, F.col("_s")).otherwise(-F.col("_e")).alias("start"), F.when(forward, F.col("_e")).otherwise(-F.col("_s")).alias("end"))
 
 
 def count_places(hits: DataFrame, by: list[str]) -> DataFrame:

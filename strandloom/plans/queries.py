@@ -196,14 +196,19 @@ def overhang(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "detect_source",
-    r"""select record_id, case when q = '' or q is null then null
-        when regexp_matches(q, '(?i)^(?:chr)?([\w.]+)[:\s]([\d,]+)\s*(?:\.\.|-|–)\s*([\d,]+)\s*(?::([+-]?1))?$') then 'ensembl'
-        when regexp_matches(q, '(?i)^ENS[A-Z]{0,4}[GTP]\d{6,}(?:\.\d+)?$') then 'ensembl'
-        when regexp_matches(q, '(?i)^(?:N[CGMRTWZ]|X[MRP]|[ANY]P|Z[PG])_\d+(?:\.\d+)?$') then 'ncbi'
-        when regexp_matches(q, '(?i)^(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})$') then 'uniprot'
-        when regexp_matches(q, '(?i)^[A-Z]{1,3}\d{5,8}(?:\.\d+)?$') then 'ncbi'
-        when regexp_matches(q, '^[A-Za-z][A-Za-z0-9._-]{0,20}$') then 'ensembl' end as source
-        from (select record_id, trim(name, ' ') q from seq_records)""",
+    # Shapes: letters as A, digits as 9; what a form's letters may be is looked up by prefix.
+    r"""with q as (select record_id, trim(name, ' ') q from seq_records), s as (select *, regexp_replace(regexp_replace(q, '[A-Za-z]', 'A', 'g'), '[0-9]', '9', 'g') z, split_part(q, '.', 1) h, split_part(q, '.', 2) v, len(string_split(q, '.')) d from q),
+        t as (select *, upper(h) u, regexp_replace(regexp_replace(h, '[A-Za-z]', 'A', 'g'), '[0-9]', '9', 'g') y, d = 1 or (d = 2 and v <> '' and ltrim(v, '0123456789') = '') plain from s),
+        p as (select *, string_split(replace(replace(replace(replace(q, '..', '-'), '–', '-'), ',', ''), ' ', ':'), ':') w from t)
+        select record_id, case when q = '' or q is null then null
+            when len(w) between 2 and 3 and ltrim(lower(w[1]), 'abcdefghijklmnopqrstuvwxyz0123456789_.') = '' and w[1] <> '' and len(string_split(w[2], '-')) = 2 and ltrim(split_part(w[2], '-', 1), '0123456789') = '' and split_part(w[2], '-', 1) <> ''
+                 and ltrim(split_part(w[2], '-', 2), '0123456789') = '' and split_part(w[2], '-', 2) <> '' and coalesce(w[3], '1') in ('1', '+1', '-1') then 'ensembl'
+            when plain and starts_with(u, 'ENS') and length(y) - length(rtrim(y, '9')) >= 6 and ltrim(rtrim(y, '9'), 'A') = '' and length(rtrim(y, '9')) between 4 and 8 and right(rtrim(u, '0123456789'), 1) in ('G', 'T', 'P') then 'ensembl'
+            when plain and left(u, 3) in ('NC_', 'NG_', 'NM_', 'NR_', 'NT_', 'NW_', 'NZ_', 'XM_', 'XR_', 'XP_', 'AP_', 'NP_', 'YP_', 'ZP_', 'ZG_') and length(u) > 3 and ltrim(substring(u, 4), '0123456789') = '' then 'ncbi'
+            when d = 1 and (length(u) = 6 and ((left(u, 1) in ('O', 'P', 'Q') and z[2] = '9' and ltrim(z[3:5], 'A9') = '' and z[6] = '9') or (z[1:3] = 'A9A' and left(u, 1) not in ('O', 'P', 'Q') and ltrim(z[4:5], 'A9') = '' and z[6] = '9'))
+                 or length(u) = 10 and z[1:3] = 'A9A' and left(u, 1) not in ('O', 'P', 'Q') and ltrim(z[4:5], 'A9') = '' and z[6:7] = '9A' and ltrim(z[8:9], 'A9') = '' and z[10] = '9') then 'uniprot'
+            when plain and length(rtrim(y, '9')) between 1 and 3 and ltrim(rtrim(y, '9'), 'A') = '' and length(y) - length(rtrim(y, '9')) between 5 and 8 then 'ncbi'
+            when z[1] = 'A' and length(q) <= 21 and ltrim(z, 'A9._-') = '' then 'ensembl' end as source from p""",
 )
 def detect_source(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("record_id", ids.detect_source(F.col("name")).alias("source"))
@@ -326,7 +331,7 @@ _search(
     + """ select record_id, "start", "end", strand, "match", levenshtein("match", 'GAATTCC')::int as edits from hits""",
     more=["edits"],
 )
-_search("search_nested", '(seq (alt (fuzzy 1 "GGAGG") "AAGGAG") (gap 4 9) "ATG")', None)
+_search("search_nested", '(seq (alt (fuzzy 1 "GGAGG") "AAGGAG") (gap 4 9) "ATG")', sql.regular("(?:[A-Z]GAGG|G[A-Z]AGG|GG[A-Z]GG|GGA[A-Z]G|GGAG[A-Z]|AAGGAG)[A-Z]{4,9}ATG", 18) + _HITS)
 _PWM = motif('(pwm-from-sites ("TATAAA" "TATATA" "TATAAT" "TTTAAA" "TATAAG") :threshold 0.9)')
 _LOW, _HIGH = _PWM.bounds()
 
@@ -374,7 +379,15 @@ def search_limit(spark: SparkSession, d: str) -> DataFrame:
     return first_hits(hits, 2).select("record_id", "start", "end", "strand", "match")
 
 
-@query("search_nonoverlap")
+@query(
+    "search_nonoverlap",
+    sql.regular("[CT]{4,20}", 20).replace("with ", "with recursive ", 1)
+    + """, d as (select record_id, strand, case strand when '+' then "start" else -"end" end s, case strand when '+' then "end" else -"start" end e from hits),
+       r as (select *, row_number() over (partition by record_id, strand order by s, e desc) n from (select distinct * from d)),
+       fo as (select record_id, strand, n, s a, e z, true k from r where n = 1 union all select r.record_id, r.strand, r.n, case when r.s >= f.z then r.s else f.a end, case when r.s >= f.z then r.e else f.z end, r.s >= f.z
+             from fo f join r on r.record_id = f.record_id and r.strand = f.strand and r.n = f.n + 1)
+       select record_id, strand, case strand when '+' then a else -z end as "start", case strand when '+' then z else -a end as "end" from fo where k""",
+)
 def search_nonoverlap(spark: SparkSession, d: str) -> DataFrame:
     return non_overlapping(search(_records(spark, d), '(run "CT" 4 20)'), ["record_id"]).drop("motif")
 
@@ -417,7 +430,15 @@ def collapse_longest(spark: SparkSession, d: str) -> DataFrame:
     return collapse(_good_matches(spark, d), ["sequence"]).drop("score")
 
 
-@query("collapse_best")
+@query(
+    "collapse_best",
+    f"""with recursive {_MATCHES}, v as (select distinct sequence, motif, strand, s, e, case when isnan(score) then null else score end v from ok),
+        r as (select *, row_number() over (partition by sequence, motif, strand order by s, e desc, v asc nulls last) n from v),
+        f as (select sequence, motif, strand, n, s a, e z, v, 1 k from r where n = 1
+              union all select r.sequence, r.motif, r.strand, r.n, case when b then r.s else f.a end, case when b then r.e else f.z end, case when b then r.v else f.v end, f.k + (r.s >= f.z)::int
+              from f join r on r.sequence = f.sequence and r.motif = f.motif and r.strand = f.strand and r.n = f.n + 1, lateral (select r.s >= f.z or coalesce(r.v, 0) > coalesce(f.v, 0) b) x)
+        select sequence, motif, strand, a as "start", z as "end", v as score from f qualify row_number() over (partition by sequence, motif, strand, k order by n desc) = 1""",
+)
 def collapse_best(spark: SparkSession, d: str) -> DataFrame:
     return collapse(_good_matches(spark, d), ["sequence"], "best")
 
@@ -488,44 +509,54 @@ def hits_with_entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "motif_matches").join(lib, "motif", "left").select("match_id", "motif", "category", "evidence")
 
 
+_NUMBER = "case when {0} = floor({0}) and abs({0}) < 1e15 then {0}::bigint::varchar else {0}::varchar end"
+_LINES = f"""with h as (select *, case when isnan(score) then null else score end v from motif_matches where "start" is not null and "end" is not null),
+    d as (select match_id, 0 kind, 1 k, 'score' key, {_NUMBER.format("v")} value from h where v is not null
+          union all select match_id, 1, generate_subscripts(e, 1), unnest(e).key, {_NUMBER.format("unnest(e).value")} from (select match_id, list_sort(map_entries(extra)) e from h where extra is not null)
+          union all select match_id, 2, generate_subscripts(bindings, 1), unnest(bindings).label, unnest(bindings).text from h where bindings is not null),
+    o as (select *, row_number() over (partition by match_id order by kind, k) n from d),
+    g as (select match_id, key, min(n) n, arg_max(coalesce(value, ''), n) value from o group by 1, 2),
+    t as (select match_id, string_agg(key || '=' || value, ';' order by n) detail from g group by 1) """
+
+
+def _lined(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "motif_matches").where(F.col("start").isNotNull() & F.col("end").isNotNull())
+
+
 @query(
     "export_tsv",
-    """select match_id, coalesce(sequence, '') || chr(9) || coalesce(motif, '') || chr(9) || ("start" + 1) || chr(9) || "end" || chr(9) || ("end" - "start") || chr(9) || coalesce(strand, '') || chr(9) || coalesce("match", '') as line
-       from motif_matches where "start" is not null and "end" is not null""",
+    _LINES + """select match_id, coalesce(sequence, '') || chr(9) || coalesce(motif, '') || chr(9) || ("start" + 1) || chr(9) || "end" || chr(9) || ("end" - "start") || chr(9) || coalesce(strand, '') || chr(9)
+        || coalesce("match", '') || chr(9) || coalesce(detail, '') as line from h left join t using (match_id)""",
 )
 def export_tsv(spark: SparkSession, d: str) -> DataFrame:
-    """Lines without their last field, whose numbers SQL prints in another way."""
-    m = table(spark, d, "motif_matches").where(F.col("start").isNotNull() & F.col("end").isNotNull())
-    return m.select("match_id", F.regexp_extract(export.line("tsv"), r"(?s)^(.*)\t[^\t]*$", 1).alias("line"))
+    return _lined(spark, d).select("match_id", export.line("tsv").alias("line"))
 
 
 @query(
     "export_bed",
-    """select match_id, case when coalesce(sequence, '') = '' then 'sequence' else sequence end || chr(9) || "start" || chr(9) || "end" || chr(9) || coalesce(motif, '') as line, coalesce(strand, '') as strand
-       from motif_matches where "start" is not null and "end" is not null""",
+    _LINES + f"""select match_id, case when coalesce(sequence, '') = '' then 'sequence' else sequence end || chr(9) || "start" || chr(9) || "end" || chr(9) || coalesce(motif, '') || chr(9)
+        || coalesce({_NUMBER.format("v")}, '0') || chr(9) || coalesce(strand, '') as line from h""",
 )
 def export_bed(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "motif_matches").where(F.col("start").isNotNull() & F.col("end").isNotNull())
-    return m.select("match_id", F.array_join(F.slice(F.split(export.line("bed"), "\t"), 1, 4), "\t").alias("line"), F.element_at(F.split(export.line("bed"), "\t"), -1).alias("strand"))
+    return _lined(spark, d).select("match_id", export.line("bed").alias("line"))
 
 
 @query(
     "export_gff3",
-    """select match_id, case when coalesce(sequence, '') = '' then 'sequence' else sequence end || chr(9) || 'strandloom' || chr(9) || 'sequence_motif' || chr(9) || ("start" + 1) || chr(9) || "end" as place,
-       'Name=' || coalesce(motif, '') || ';matched_sequence=' || coalesce("match", '') as attributes from motif_matches where "start" is not null and "end" is not null and motif is not null""",
+    _LINES + f"""select match_id, case when coalesce(sequence, '') = '' then 'sequence' else sequence end || chr(9) || 'strandloom' || chr(9) || 'sequence_motif' || chr(9) || ("start" + 1) || chr(9) || "end" || chr(9)
+        || coalesce({_NUMBER.format("v")}, '.') || chr(9) || coalesce(strand, '') || chr(9) || '.' || chr(9)
+        || coalesce('Name=' || replace(url_encode(motif), '%20', '+') || ';matched_sequence=' || replace(url_encode("match"), '%20', '+'), '') as line from h""",
 )
 def export_gff3(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "motif_matches").where(F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("motif").isNotNull())
-    parts = F.split(export.line("gff3"), "\t")
-    return m.select("match_id", F.array_join(F.slice(parts, 1, 5), "\t").alias("place"), F.element_at(parts, 9).alias("attributes"))
+    return _lined(spark, d).select("match_id", export.line("gff3").alias("line"))
 
 
-@query("export_json", """select match_id, "start" + 1 as "start", "end", motif, len(bindings)::int as bound from motif_matches where "start" is not null and "end" is not null""")
+@query("export_json", _LINES + """select match_id, coalesce(sequence, '') as sequence, motif, "start" + 1 as "start", "end", "end" - "start" as length, strand, "match", v as score, coalesce(detail, '') as detail from h left join t using (match_id)""")
 def export_json(spark: SparkSession, d: str) -> DataFrame:
-    """JSON lines, read back."""
-    m = table(spark, d, "motif_matches").where(F.col("start").isNotNull() & F.col("end").isNotNull())
-    back = F.from_json(export.line("json"), "start long, end long, motif string")
-    return m.select("match_id", back["start"].alias("start"), back["end"].alias("end"), back["motif"].alias("motif"), F.size("bindings").alias("bound"))
+    """JSON lines, each field read back."""
+    back = F.from_json(export.line("json"), "sequence string, motif string, start long, end long, length long, strand string, match string, score double, detail map<string,string>")
+    detail = F.array_join(F.transform(F.map_entries(back["detail"]), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
+    return _lined(spark, d).select("match_id", back.alias("b"), detail.alias("detail")).select("match_id", "b.sequence", "b.motif", "b.start", "b.end", "b.length", "b.strand", "b.match", "b.score", "detail")
 
 
 @query(
@@ -651,7 +682,13 @@ def orfs(spark: SparkSession, d: str) -> DataFrame:
     return frames.orfs(_records(spark, d))
 
 
-@query("orf_proteins")
+@query(
+    "orf_proteins",
+    _ORFS + f""", t(c, aa) as (values {sql.codon_values(11)}), w as (select v.record_id, v.strand, v.n, frame, a, z, q from v join st using (record_id, strand) where z - a >= 150 and st.n = v.n),
+        x as (select record_id, strand, n, frame, a, z, k, coalesce(aa, 'X') aa from (select *, unnest(range(1, (z - a) // 3)) k from w) left join t on t.c = substring(q, a + 3 * k + 1, 3)),
+        y as (select record_id, strand, n, frame, a, z, string_agg(aa, '' order by k) aa from x group by all)
+        select record_id, strand, frame, case strand when '+' then a else n - z end as "start", case strand when '+' then z else n - a end as "end", 'M' || split_part(aa, '*', 1) as protein from y""",
+)
 def orf_proteins(spark: SparkSession, d: str) -> DataFrame:
     r = _records(spark, d)
     return frames.orf_proteins(r, frames.orfs(r, min_length=150))
@@ -713,8 +750,8 @@ def newest_versions(spark: SparkSession, d: str) -> DataFrame:
     "provenance",
     """select name, coalesce(evidence, case when regexp_matches(coalesce(ref, ''), '(?i)JASPAR\\s+\\S+') or regexp_matches(coalesce(source_file, ''), '(?i)jaspar') then 'measured'
        when regexp_matches(coalesce(source_file, ''), '(?i)restriction') then 'catalogue' when coalesce(ref, '') <> '' then 'literature-backed' else 'uncited' end) as evidence,
-       regexp_extract(coalesce(ref, ''), '(?i)PubMed\\s+(\\d+)', 1) as pubmed, case when lower(category) in ('tag', 'protein', 'modification', 'domain', 'targeting', 'protease', 'binding-site', 'catalytic', 'degradation', 'linker') then 'protein'
-       when lower(category) in ('rna', 'utr', 'stability', 'mirna', 'rna-structure', 'splicing-rna', 'riboswitch', 'trna', 'recoding', 'localisation', 'ires', 'small-rna', 'viral') then 'rna' else 'dna' end as implied from motif_library""",
+       regexp_extract(coalesce(ref, ''), '(?i)PubMed\\s+(\\d+)', 1) as pubmed, case when lower(category) in ("""
+    + sql.texts(lib.PROTEIN_CATEGORIES) + ") then 'protein' when lower(category) in (" + sql.texts(lib.RNA_CATEGORIES) + ") then 'rna' else 'dna' end as implied from motif_library",
 )
 def provenance(spark: SparkSession, d: str) -> DataFrame:
     p = lib.provenance(F.col("source_file"), F.col("ref"), F.col("evidence"), F.lit(False))

@@ -48,3 +48,8 @@ def mismatches(text: str, at: str = "i", of: str = "q") -> str:
 
 def codon_values(table: int) -> str:
     return ", ".join(f"('{c}', '{a}')" for c, a in codons_with_codes(table).items())
+
+
+def texts(values: list[str]) -> str:
+    """Texts as a list of literals."""
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)

@@ -50,7 +50,7 @@ def line(kind: str) -> Column:
         return tab(shown, F.lit("strandloom"), F.lit("sequence_motif"), start + 1, end, F.coalesce(valid_score, F.lit(".")), F.col("strand"), F.lit("."), attributes)
     if kind == "json":
         fields = detail(F.col("score"), F.col("extra"), F.col("bindings"))
-        return F.to_json(F.struct(name.alias("sequence"), "motif", (start + 1).alias("start"), end.alias("end"), (end - start).alias("length"), "strand", "match", "score", F.map_from_entries(fields).alias("detail")))
+        return F.to_json(F.struct(name.alias("sequence"), "motif", (start + 1).alias("start"), end.alias("end"), (end - start).alias("length"), "strand", "match", F.when(~F.isnan("score"), F.col("score")).alias("score"), F.map_from_entries(fields).alias("detail")))
     return tab(name, F.col("motif"), start + 1, end, end - start, F.col("strand"), F.col("match"), detail_text(F.col("score"), F.col("extra"), F.col("bindings")))
 
 

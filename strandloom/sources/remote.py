@@ -17,7 +17,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import identifiers as I
 
-LARGEST = 12_000_000
 NAMES = {"ncbi": "NCBI", "ensembl": "Ensembl", "ena": "ENA", "uniprot": "UniProt"}
 
 
@@ -25,13 +24,24 @@ class SourceError(ValueError):
     """What a database answered, in words."""
 
 
+def region_of(query: str) -> tuple[str, str, str, str] | None:
+    """(name, from, to, strand) of a place; see ``identifiers.region``."""
+    name, _, rest = query.strip().replace("\t", " ").replace(" ", ":", 1 if ":" not in query else 0).partition(":")
+    span, _, strand = rest.partition(":")
+    ends = [e.strip().replace(",", "") for e in span.replace("..", "-").replace("–", "-").split("-")]
+    ok = re.fullmatch(r"[\w.]+", name) and len(ends) == 2 and all(e.isdigit() for e in ends) and strand.strip() in ("", "1", "+1", "-1")
+    return (name.removeprefix("chr"), *ends, strand.strip() or "1") if ok else None
+
+
 def route(query: str) -> str | None:
     """Which database an identifier belongs to, by its form; see ``identifiers.detect_source``."""
     q = query.strip()
-    for source, patterns in (("ensembl", [I.REGION, I.ENSEMBL]), ("ncbi", [I.REFSEQ]), ("uniprot", [I.UNIPROT]), ("ncbi", [I.GENBANK]), ("ensembl", [I.SYMBOL])):
-        if any(re.match(p, q) for p in patterns):
+    if region_of(q):
+        return "ensembl"
+    for source, pattern in (("ensembl", I.ENSEMBL), ("ncbi", I.REFSEQ), ("uniprot", I.UNIPROT), ("ncbi", I.GENBANK)):
+        if re.match(pattern, q):
             return source
-    return None
+    return "ensembl" if len(q) <= I.LONGEST_SYMBOL and re.fullmatch(r"[A-Za-z][\w.-]*", q) else None
 
 
 def url_of(source: str, query: str, species: str = "homo_sapiens", upstream: int = 0) -> str:
@@ -43,8 +53,9 @@ def url_of(source: str, query: str, species: str = "homo_sapiens", upstream: int
     if source == "ena":
         return f"https://www.ebi.ac.uk/ena/browser/api/fasta/{q}"
     further = f"&expand_5prime={min(upstream, 100_000)}" if upstream > 0 else ""
-    if m := re.match(I.REGION, query.strip()):
-        place = f"{m[1]}:{m[2].replace(',', '')}..{m[3].replace(',', '')}:{m[4] or 1}"
+    if found := region_of(query):
+        name, begin, end, strand = found
+        place = f"{name}:{begin}..{end}:{strand}"
         return f"https://rest.ensembl.org/sequence/region/{species}/{place}?content-type=text/x-fasta{further}"
     kind = "id" if re.match(I.ENSEMBL, query.strip()) else f"symbol/{species}"
     return f"https://rest.ensembl.org/sequence/{kind}/{q}?content-type=text/x-fasta{further}"
@@ -60,20 +71,25 @@ def open_url(url: str) -> tuple[int, str]:
         return 0, ""
 
 
-def checked(status: int, text: str, where: str, what: str) -> str:
-    """The text of a good answer; SourceError otherwise."""
-    if status == 0:
-        raise SourceError(f"Could not reach {where}.")
-    if status == 429:
-        raise SourceError(f"{where} is rate limiting requests" + (f"; try again in {text} s." if text else "."))
-    if status in (400, 404):
-        raise SourceError(f"{where} has no record for {what}.")
-    if status >= 500:
-        raise SourceError(f"{where} is having trouble ({status}).")
-    if status != 200 or not text.lstrip().startswith(">"):
-        raise SourceError(f"{where} returned no sequence for {what}.")
-    if len(text) > LARGEST:
-        raise SourceError(f"{what} is larger than {LARGEST} letters; fetch a region instead.")
+#: What an answer's status means; the hundreds stand for all others of their kind.
+TROUBLE = {
+    0: "{where} gave no answer at all",
+    400: "{where} holds no record of {what}",
+    404: "{where} holds no record of {what}",
+    429: "{where} asks for fewer requests, next one in {after} s",
+    5: "{where} failed with status {status}",
+}
+
+
+def checked(status: int, text: str, where: str, what: str, largest: int | None = None) -> str:
+    """The text of a good answer; SourceError otherwise, also for more than ``largest`` letters, if that is set."""
+    trouble = TROUBLE.get(status, TROUBLE.get(status // 100))
+    if trouble is None and not (status == 200 and text.lstrip().startswith(">")):
+        trouble = "{where} sent something else than a sequence for {what}"
+    if trouble is None and largest is not None and sum(len(x) for x in text.split("\n") if not x.startswith(">")) > largest:
+        trouble = "{what} has more than {largest} letters; ask for a region of it"
+    if trouble:
+        raise SourceError(trouble.format(where=where, what=what, status=status, after=text if status == 429 and text else "a few", largest=largest) + ".")
     return text
 
 
@@ -97,11 +113,12 @@ class _Reader(DataSourceReader):
         module, _, name = self.options.get("opener", f"{__name__}:open_url").partition(":")
         opener = getattr(importlib.import_module(module), name)
         url = url_of(source, partition.query, self.options.get("species", "homo_sapiens"), int(self.options.get("upstream", "0")))
-        yield partition.query, source, checked(*opener(url), NAMES[source], partition.query)
+        largest = self.options.get("largest")
+        yield partition.query, source, checked(*opener(url), NAMES[source], partition.query, int(largest) if largest else None)
 
 
 class SequenceSource(DataSource):
-    """format("sequences"): options ids (separated by ;), source (auto), species, upstream and opener (module:function)."""
+    """format("sequences"): options ids (separated by ;), source (auto), species, upstream, largest (letters; no limit unless set) and opener (module:function)."""
 
     @classmethod
     def name(cls) -> str:
