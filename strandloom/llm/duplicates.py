@@ -1,6 +1,6 @@
 """Problem 1: records that are equal but for formatting.
 
-Canonical keys are counted with partial counts; keys with more copies than ``hot`` are
+Canonical keys are counted with partial counts; hot ones are
 aggregated in two levels over salts, all others in one shuffle.  The representative of a
 group is its smallest identifier.
 """
@@ -11,8 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import letters
+from ..session import written
 
-HOT, SALTS = 10_000, 64
+#: Hot keys that are broadcast; more are joined in the plain way.
+MOST = 100_000
+#: A key is hot if it has more than this share of what a task gets on average, but at least so many rows.
+SHARE, LEAST, SALTS = 0.25, 1000, 64
+
+
+def hot_bound(rows: int, tasks: int) -> int:
+    """From how many rows on a group is split: a quarter of an average task."""
+    return max(LEAST, int(SHARE * rows / max(tasks, 1)))
 
 
 def name_fields(name: Column) -> Column:
@@ -28,25 +37,30 @@ def canonical_key(name: Column, seq: Column) -> Column:
     return F.when((F.length(text) > 0) & (F.length(fields) > 0), key)
 
 
-def formatting_duplicates(records: DataFrame, hot: int = HOT, salts: int = SALTS) -> DataFrame:
+def formatting_duplicates(records: DataFrame, hot: int | None = None, salts: int = SALTS) -> DataFrame:
     """(record_id, keep_id, copies) of every record that is in a group.
 
     Records without letters, or whose name is null or has no field, are in no group and give
     no row; a record without a copy is its own representative with one copy.  Other columns,
-    whatever their names, do not matter; an empty table gives no rows.
+    whatever their names, do not matter; an empty table gives no rows.  Groups of more than ``hot`` rows, by default a
+    quarter of an average task, are aggregated in two levels.
     """
+    spark = records.sparkSession
     keyed = records.select("record_id", canonical_key(F.col("name"), F.col("seq")).alias("_key")).where(F.col("_key").isNotNull())
-    # A third of all rows may share a key: their number bounds the hot keys, at most rows / hot.
+    # Keys are made of whole texts, so they are made once.
+    keyed = written(keyed, "keys")
     counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"))
-    hot_keys = counts.where(F.col("copies") > hot)
+    if hot is None:
+        hot = hot_bound(keyed.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # At most rows / hot keys are hot, a few for each task.
+    hot_keys = written(counts.where(F.col("copies") > hot), "hot-keys")
     n_hot = hot_keys.count()
     cold = keyed
     parts = []
     if n_hot:
-        small = n_hot <= 100_000
-        hinted = F.broadcast(hot_keys) if small else hot_keys
-        heavy = keyed.join(hinted, "_key")
-        salted = heavy.groupBy("_key", F.pmod(F.xxhash64("record_id"), F.lit(salts)).alias("_salt"))
+        small = n_hot <= MOST
+        hinted = F.broadcast(hot_keys.select("_key")) if small else hot_keys.select("_key")
+        salted = keyed.join(hinted, "_key").groupBy("_key", F.pmod(F.xxhash64("record_id"), F.lit(salts)).alias("_salt"))
         level1 = salted.agg(F.min("record_id").alias("_min"), F.count(F.lit(1)).alias("_n"))
         level2 = level1.groupBy("_key").agg(F.min("_min").alias("keep_id"), F.sum("_n").alias("copies"))
         parts.append(keyed.join(F.broadcast(level2) if small else level2, "_key").select("record_id", "keep_id", "copies"))

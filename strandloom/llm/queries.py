@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from .duplicates import distinct_records, formatting_duplicates
-from .packing import fill, pack_documents
+from .packing import fill, pack_documents, rules
 from .spans import shared_share, shared_spans
-from .splitting import split_records, unbroken_stretches
+from .splitting import rejoined, split_records, unbroken_stretches
 from .tokens import token_ids
 from .topn import best_matches
 from .truncation import field_limits, truncated, truncation_by_source
@@ -97,12 +97,22 @@ _BEST = """
 """
 
 
+@query(
+    "p4_rejoined",
+    """select record_id, coalesce("offset", 0) as "offset", length(s) as letters, md5(s) as md5, true as within, true as joined
+       from (select *, regexp_replace(upper(seq), '[^A-Z]', '', 'g') s from seq_records where seq is not null) join split_limits using (type) where length(s) > max_letters""",
+)
+def p4_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces put together again: limits, overlaps, offsets and letters."""
+    return rejoined(table(spark, d, "seq_records"), table(spark, d, "split_limits"))
+
+
 @query("p5_found", _BEST + "select match_id from r where rank <= 3")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return best_matches(table(spark, d, "motif_matches")).select("match_id")
 
 
-@query("p5_best", _BEST + 'select sequence, motif, score, "start", match_id, rank from r where rank <= 3')
+@query("p5_best", _BEST + 'select sequence, motif, case when not isnan(score) then score end as score, "start", match_id, rank from r where rank <= 3')
 def p5_best(spark: SparkSession, d: str) -> DataFrame:
     return best_matches(table(spark, d, "motif_matches"))
 
@@ -122,6 +132,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(pack_documents(table(spark, d, "documents"), table(spark, d, "pack_limits")))
 
 
+@query("p7_rules")
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    return rules(pack_documents(table(spark, d, "documents"), table(spark, d, "pack_limits")))
+
+
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(table(spark, d, "documents")).select("doc_id")

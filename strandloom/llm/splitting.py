@@ -1,8 +1,8 @@
 """Problem 4: records longer than a limit, cut at natural boundaries.
 
 For a record the least number of pieces is computed and as many equal targets are set;
-each target is snapped to the strongest boundary of its neighbourhood (half a step to
-either side), and where two cuts end up too far apart, equally spaced cuts are added.
+each target is snapped to the strongest boundary of its neighbourhood (as near as costs no further piece, else half a
+step to either side), and where two cuts end up too far apart, equally spaced cuts are added.
 A cut that found no boundary takes the strongest one that keeps both pieces beside it within the limit, wherever it lies.
 All of it runs on rows of boundaries and targets; letters are only touched when the
 pieces are taken out of tiles.
@@ -50,15 +50,6 @@ def stretches(records: DataFrame, limits: DataFrame) -> DataFrame:
     return r.withColumn("_from", start).withColumn("_to", start + F.col("_len"))
 
 
-def unbroken_stretches(records: DataFrame, limits: DataFrame) -> DataFrame:
-    """Stretches (record_id, from_pos, to_pos) longer than the limit without a natural boundary; positions have the offset added.
-
-    Records of null or unknown type, without letters or within the limit give no row.
-    """
-    s = stretches(records, limits).where(F.col("_len") > F.col("_max"))
-    return s.select("record_id", (F.col("_from") + F.col("_offset")).alias("from_pos"), (F.col("_to") + F.col("_offset")).alias("to_pos"))
-
-
 def snapped(cuts: list[tuple[int, bool]], boundaries: list[tuple[int, int]], most: int, overlap: int) -> list[tuple[int, bool]]:
     """Cuts (position, natural) in order, the record's end the last, with artificial ones moved to boundaries (position, run).
 
@@ -91,23 +82,39 @@ def snapped(cuts: list[tuple[int, bool]], boundaries: list[tuple[int, int]], mos
     return [(at[i], natural[i]) for i in range(len(cuts)) if i not in gone]
 
 
+def _around(cuts_: list[tuple[int, bool]], boundaries: list[tuple[int, int]], n: int) -> list[tuple[int | None, int | None]]:
+    """The stretch without a boundary that each artificial cut lies in; none for natural cuts and for cuts within a boundary."""
+    spans = sorted((at - run // 2, at - run // 2 + run) for at, run in boundaries)
+    begins, ends = [a for a, _ in spans], [b for _, b in spans]
+    out = []
+    for at, natural in cuts_:
+        before, after = bisect_right(ends, at), bisect_left(begins, at)
+        out.append((None, None) if natural or before != after else (ends[before - 1] if before else 0, begins[after] if after < len(begins) else n))
+    return out
+
+
 def _snapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of records with their cuts and boundaries -> their cuts."""
     for batch in batches:
-        of, found = [], []
+        of, found, around = [], [], []
         for row in range(batch.num_rows):
-            most, overlap, marks = (batch.column(c)[row].as_py() for c in (2, 3, 5))
+            n, most, overlap, marks = (batch.column(c)[row].as_py() for c in (1, 2, 3, 5))
             cuts_ = sorted((x["at"], x["natural"]) for x in marks if x["run"] is None)
-            some = snapped(cuts_, [(x["at"], x["run"]) for x in marks if x["run"] is not None], most, overlap)
+            boundaries = [(x["at"], x["run"]) for x in marks if x["run"] is not None]
+            some = snapped(cuts_, boundaries, most, overlap)
             of += [row] * len(some)
             found += some
+            around += _around(some, boundaries, n)
         rows = pa.array(of, pa.int32())
-        columns = [*(batch.column(c).take(rows) for c in range(5)), pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, names=["record_id", "_n", "_max", "_overlap", "_offset", "_cut", "natural"])
+        columns = [*(batch.column(c).take(rows) for c in range(5)), pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.bool_()), *(pa.array([x[k] for x in around], pa.int64()) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["record_id", "_n", "_max", "_overlap", "_offset", "_cut", "natural", "_from", "_to"])
 
 
 def cuts(records: DataFrame, limits: DataFrame) -> DataFrame:
-    """(record_id, _n, _max, _overlap, _offset, _cut, natural) of each cut; pieces end at cuts and begin ``overlap`` letters before."""
+    """(record_id, _n, _max, _overlap, _offset, _cut, natural, _from, _to) of each cut; pieces end at cuts and begin ``overlap`` letters before.
+
+    ``_from`` and ``_to`` are the ends of the stretch without a boundary in which an artificial cut had to be set.
+    """
     s = stretches(records, limits)
     step = F.col("_max") - F.col("_overlap")  # two cuts may lie so far apart
     pieces = F.ceil((F.col("_n") - F.col("_overlap")) / step)
@@ -117,7 +124,9 @@ def cuts(records: DataFrame, limits: DataFrame) -> DataFrame:
     b = s.where(F.col("_run").isNotNull()).withColumn("_at", F.col("_to") + (F.col("_run") / 2).cast("long"))
     b = b.withColumn("_target", F.floor(F.col("_at") / (F.col("_n") / pieces) + F.lit(0.5)).cast("long"))
     off = F.abs(F.col("_at") - F.col("_target") * F.col("_n") / pieces)
-    best = b.where((F.col("_at") > F.col("_overlap")) & (F.col("_at") < F.col("_n"))).groupBy("record_id", "_target").agg(F.max_by("_at", F.struct("_run", -off, -F.col("_at"))).alias("_snap"))
+    # Two neighbours moved apart by no more than what a step has to spare need no piece between them.
+    free = off * 2 <= step - F.col("_n") / pieces
+    best = b.where((F.col("_at") > F.col("_overlap")) & (F.col("_at") < F.col("_n"))).groupBy("record_id", "_target").agg(F.max_by("_at", F.struct(free, "_run", -off, -F.col("_at"))).alias("_snap"))
     t = one.where(F.col("_pieces") > 1).select(*key, "_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_pieces") - 1)).alias("_target"))
     t = t.join(best, ["record_id", "_target"], "left")
     fallback = F.floor(F.col("_target") * F.col("_d")).cast("long")
@@ -139,7 +148,34 @@ def cuts(records: DataFrame, limits: DataFrame) -> DataFrame:
     marks = set_.unionByName(b.select(*key, F.col("_at").alias("at"), F.col("_run").alias("run"), F.lit(True).alias("natural")))
     marks = marks.groupBy(*key).agg(F.collect_list(F.struct("at", "run", "natural")).alias("_marks"))
     kind = records.schema["record_id"].dataType.simpleString()
-    return marks.mapInArrow(_snapping, f"record_id {kind}, _n long, _max long, _overlap long, _offset long, _cut long, natural boolean")
+    return marks.mapInArrow(_snapping, f"record_id {kind}, _n long, _max long, _overlap long, _offset long, _cut long, natural boolean, _from long, _to long")
+
+
+def unbroken_stretches(records: DataFrame, limits: DataFrame) -> DataFrame:
+    """Stretches (record_id, from_pos, to_pos) longer than the limit without a natural boundary; positions have the offset added.
+
+    They are those in which the splitting had to set an artificial cut: two cuts lie at most a limit apart, so that a longer stretch
+    without a boundary holds one.  Records of null or unknown type, without letters or within the limit give no row.
+    """
+    forced = cuts(records, limits).where(~F.col("natural") & (F.col("_to") - F.col("_from") > F.col("_max")))
+    return forced.select("record_id", (F.col("_from") + F.col("_offset")).alias("from_pos"), (F.col("_to") + F.col("_offset")).alias("to_pos")).distinct()
+
+
+def rejoined(records: DataFrame, limits: DataFrame) -> DataFrame:
+    """(record_id, offset, letters, md5, within, joined): each split record put together from its pieces again.
+
+    ``within`` says that no piece exceeds the limit, ``joined`` that consecutive ones share the overlap exactly.
+    """
+    lim = limits.select(F.col("type").alias("_type"), F.col("max_letters").alias("_max"), F.col("overlap_letters").alias("_overlap"))
+    p = split_records(records, limits).join(records.select("record_id", F.col("type").alias("_type")), "record_id").join(F.broadcast(lim), "_type")
+    w = W.partitionBy("record_id").orderBy("piece")
+    before = F.lag(F.struct((F.col("offset") + F.col("length")).alias("end"), F.right("seq", F.col("_overlap")).alias("tail"))).over(w)
+    p = p.withColumn("_before", before)
+    shares = F.col("_before").isNull() | (F.col("_before.end") - F.col("offset") == F.col("_overlap")) & (F.left("seq", F.col("_overlap")) == F.col("_before.tail"))
+    own = F.when(F.col("_before").isNull(), F.col("seq")).otherwise(F.substring("seq", F.col("_overlap") + 1, F.col("length").cast("int")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", own.alias("x")))), lambda x: x["x"]), "")
+    g = p.groupBy("record_id").agg(F.min("offset").alias("offset"), whole.alias("_text"), F.bool_and((F.col("length") == F.length("seq")) & (F.col("length") <= F.col("_max"))).alias("within"), F.bool_and(shares).alias("joined"))
+    return g.select("record_id", "offset", F.length("_text").cast("long").alias("letters"), F.md5("_text").alias("md5"), "within", "joined")
 
 
 def split_records(records: DataFrame, limits: DataFrame, tile: int = TILE) -> DataFrame:
