@@ -1,7 +1,6 @@
 """Problem 3: long exact spans shared between records.
 
-Level-wise doubling.  Window hashes are built by doubling (a window of 2w letters is a pair
-of windows of w).  Level one looks at windows of half the wanted length, of which only local
+Level-wise doubling.  Level one looks at windows of half the wanted length, of which only local
 minima of the hash are kept: any two equal spans of the wanted length keep an equal one.
 Those found in one record only are dropped; the others are extended to every window of the
 full length around them:
@@ -18,6 +17,7 @@ paired, so that a copy of a third of all records costs no more than another.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +29,49 @@ from ..operators.intervals import merge_intervals
 from ..session import written
 
 TILE = 1 << 15
-#: Odd multipliers of the two independent hashes.
-_K = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)))
+#: Odd multipliers of the two independent hashes, and of the mixing that follows.
+_K = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _join(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A hash of two words each."""
-    x = a * _K[lane][0]
-    x += b * _K[lane][1]
-    x ^= x >> np.uint64(32)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
     x *= _M
     x ^= x >> np.uint64(29)
     return x
 
 
-def _windows(text: str, wanted: list[int], lane: int = 0) -> dict[int, np.ndarray]:
-    """Hashes of all windows of the wanted lengths, by doubling; up to eight letters of five bits are held as they are."""
-    power = np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint64) & np.uint64(31)
-    out, w, size = {}, 1, len(power)
-    for length in sorted(wanted):
-        while 2 * w <= length:
-            left, right = power[: max(0, len(power) - w)], power[w:]
-            power = (left << np.uint64(5 * w)) | right if w < 8 else _join(left, right, lane)
-            w *= 2
-        n = max(0, size - length + 1)
-        out[length] = _join(power[:n], power[length - w : length - w + n], lane)
-    return out
+def _join(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of two words each."""
+    return _mixed(a * np.uint64(_K[lane]) + b * np.uint64(_K[1 - lane]))
+
+
+@lru_cache(maxsize=8)
+def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each letter, and the powers of a multiplier and of its inverse modulo 2^64."""
+    up = np.full(n, np.uint64(_K[lane]))
+    down = np.full(n, np.uint64(pow(_K[lane], -1, 1 << 64)))
+    up[0] = down[0] = 1
+    numbers = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_K[1 - lane]))
+    return numbers, np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class _Hashes:
+    """Hashes of any windows of a text: what lies before a position is summed up once."""
+
+    def __init__(self, text: str, lane: int = 0):
+        code = np.frombuffer(text.encode("ascii"), np.uint8)
+        size = 1 << max(len(code), 1).bit_length()
+        numbers, self.up, down = _powers(size, lane)
+        self.before = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(numbers[code] * down[: len(code)], out=self.before[1:])
+
+    def all(self, length: int) -> np.ndarray:
+        n = max(0, len(self.before) - length)
+        return _mixed((self.before[length : length + n] - self.before[:n]) * self.up[:n])
+
+    def at(self, places: np.ndarray, length: int) -> np.ndarray:
+        return _mixed((self.before[places + length] - self.before[places]) * self.up[places])
 
 
 def _minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -83,6 +99,11 @@ def _minima(h: np.ndarray, width: int) -> np.ndarray:
     return at[~same_left | last | (run % width == 0)]
 
 
+def _wide(h: _Hashes, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows from the first full-length window to the last."""
+    return _mixed((h.before[hi + length] - h.before[lo]) * h.up[lo])
+
+
 def _anchors(length: int, tile: int):
     """Tiles -> anchors: half-length hash, hash of the surrounding, first window and number of windows in it."""
     half = length // 2
@@ -96,14 +117,15 @@ def _anchors(length: int, tile: int):
                 stop = min(own + tile, n - length + 1 - base)  # behind the last own start of a full window
                 if stop <= own:
                     continue
-                h, two = _windows(text, [half, length]), _windows(text, [length], 1)[length]
-                at = own + _minima(h[half][own : stop + width - 1], width)
-                lo, hi = np.maximum(at - (width - 1), max(0, -base)), np.minimum(at, len(h[length]) - 1)
-                lo = np.maximum(lo, 0)
+                one, two = _Hashes(text), _Hashes(text, 1)
+                h = one.all(half)
+                at = own + _minima(h[own : stop + width - 1], width)
+                lo, hi = np.maximum(at - (width - 1), max(0, -base)), np.minimum(at, len(text) - length)
                 size = (hi - lo + 1).astype(np.uint64)
-                around = _join(_join(h[length][lo], h[length][hi]), size)
-                again = _join(_join(two[lo], two[hi], 1), size, 1)
-                found.append((np.full(len(at), key, np.int64), h[half][at].view(np.int64), around.view(np.int64), again.view(np.int64), lo + base, size.astype(np.int32)))
+                # All of the surrounding is one window; its width tells how many full-length ones it holds.
+                around = _join(_wide(one, lo, hi, length), size)
+                again = _join(_wide(two, lo, hi, length), size, 1)
+                found.append((np.full(len(at), key, np.int64), h[at].view(np.int64), around.view(np.int64), again.view(np.int64), lo + base, size.astype(np.int32)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["_id", "_h", "_c", "_c2", "_lo", "_w"])
 
@@ -116,14 +138,14 @@ def _unrolled(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, text, items in zip(*(c.to_pylist() for c in batch.columns)):
-                h1, h2 = _windows(text, [length])[length], _windows(text, [length], 1)[length]
+                one, two = _Hashes(text), _Hashes(text, 1)
                 size = np.array([x["_w"] for x in items], np.int64)
                 lo = np.array([x["_lo"] for x in items], np.int64) - base
                 rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 at = np.repeat(lo, size) + rank
                 rep = lambda k, t: pa.array(np.repeat(np.array([x[k] for x in items], t), size))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), pa.array(rank.astype(np.int32)), rep("_c", np.int64), rep("_c2", np.int64), rep("_min", np.int64), rep("_max", np.int64)],
+                    [pa.array(one.at(at, length).view(np.int64)), pa.array(two.at(at, length).view(np.int64)), pa.array(rank.astype(np.int32)), rep("_c", np.int64), rep("_c2", np.int64), rep("_min", np.int64), rep("_max", np.int64)],
                     names=["_x", "_x2", "_k", "_c", "_c2", "_min", "_max"],
                 )
 
