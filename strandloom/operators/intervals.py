@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Positions in a block. Rows with the same start are pre-aggregated, so a block never holds more rows than this.
 BLOCK = 1 << 17
 
@@ -44,7 +46,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, touchi
     rows = df.select(*[F.col(c).alias(a) for a, c in zip(k, keys)], F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
     rows = rows.where(F.col("_s") < F.col("_e")).dropna(subset=k)
     once = rows.withColumn("_b", _block(F.col("_s"), block)).groupBy(*k, "_b", "_s").agg(F.max("_e").alias("_e"))
-    inside = _sessions(once, [*k, "_b"], touching)
+    # Read several times below.
+    inside = written(_sessions(once, [*k, "_b"], touching), "sessions")
     # How far the periods of all earlier blocks reach: one row a block.
     before = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     reach = inside.groupBy(*k, "_b").agg(F.max("_e").alias("_m")).withColumn("_reach", F.max("_m").over(before)).drop("_m")
@@ -74,7 +77,7 @@ def gaps_between(periods: DataFrame, keys: list[str], block: int = BLOCK) -> Dat
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block: int = BLOCK) -> DataFrame:
     """Periods and gaps in one table (what, keys, from_pos, to_pos); see :func:`merge_intervals`."""
-    periods = merge_intervals(df, keys, start, end, block=block)
+    periods = written(merge_intervals(df, keys, start, end, block=block), "periods")
     gaps = gaps_between(periods, keys, block)
     return periods.select(F.lit("period").alias("what"), "*").unionByName(gaps.select(F.lit("gap").alias("what"), "*"))
 
