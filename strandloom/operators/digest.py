@@ -47,6 +47,26 @@ def cut_sites(records: DataFrame, enzymes: DataFrame, circular: bool = False) ->
     return sites.withColumn("_one", one).where(F.col("_one") == 1).drop("_one")
 
 
+def _cut_up(whole: DataFrame, cuts: DataFrame, keys: list[str], circular: bool) -> DataFrame:
+    """(keys, from_pos, to_pos, size) of whole molecules (keys, n) with cuts (keys, cut_top)."""
+    point = lambda d, c: d.select(*keys, c.cast("long").alias("from_pos"), c.cast("long").alias("to_pos"))
+    size = F.col("to_pos") - F.col("from_pos")
+    if not circular:
+        points = point(cuts.distinct(), F.col("cut_top")).unionByName(point(whole, F.lit(0))).unionByName(point(whole, F.col("n")))
+        return gaps_between(written(points, "cut-points"), keys).withColumn("size", size)
+    cuts = written(cuts.distinct(), "cut-points")
+    between = gaps_between(point(cuts, F.col("cut_top")), keys).withColumn("size", size)
+    ends = cuts.groupBy(*keys).agg(F.min("cut_top").alias("_a"), F.max("cut_top").alias("_z"))
+    across = whole.join(ends, keys).select(*keys, F.col("_z").alias("from_pos"), F.col("_a").alias("to_pos"), (F.col("n") - F.col("_z") + F.col("_a")).alias("size"))
+    uncut = whole.join(ends, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("from_pos"), F.col("n").alias("to_pos"), F.col("n").alias("size"))
+    return between.unionByName(across).unionByName(uncut)
+
+
+def _used(sites: DataFrame, circular: bool) -> DataFrame:
+    """The sites that part a molecule: on a linear one those strictly inside."""
+    return sites if circular else sites.where((F.col("cut_top") > 0) & (F.col("cut_top") < F.col("n")))
+
+
 def fragments(records: DataFrame, sites: DataFrame, circular: bool = False) -> DataFrame:
     """(record_id, from_pos, to_pos, size): what the cuts leave of each nucleic record.
 
@@ -54,17 +74,7 @@ def fragments(records: DataFrame, sites: DataFrame, circular: bool = False) -> D
     cut opens the circle, none leaves it whole.
     """
     whole = nucleic(records).select("record_id", F.length(letters(F.col("seq"))).cast("long").alias("n"))
-    point = lambda d, c: d.select("record_id", c.cast("long").alias("from_pos"), c.cast("long").alias("to_pos"))
-    if not circular:
-        inner = sites.where((F.col("cut_top") > 0) & (F.col("cut_top") < F.col("n"))).select("record_id", "cut_top").distinct()
-        points = point(inner, F.col("cut_top")).unionByName(point(whole, F.lit(0))).unionByName(point(whole, F.col("n")))
-        return gaps_between(written(points, "cut-points"), ["record_id"]).withColumn("size", F.col("to_pos") - F.col("from_pos"))
-    cuts = written(sites.select("record_id", "cut_top").distinct(), "cut-points")
-    between = gaps_between(point(cuts, F.col("cut_top")), ["record_id"]).withColumn("size", F.col("to_pos") - F.col("from_pos"))
-    ends = cuts.groupBy("record_id").agg(F.min("cut_top").alias("_a"), F.max("cut_top").alias("_z"))
-    across = whole.join(ends, "record_id").select("record_id", F.col("_z").alias("from_pos"), F.col("_a").alias("to_pos"), (F.col("n") - F.col("_z") + F.col("_a")).alias("size"))
-    uncut = whole.join(ends, "record_id", "left_anti").select("record_id", F.lit(0).cast("long").alias("from_pos"), F.col("n").alias("to_pos"), F.col("n").alias("size"))
-    return between.unionByName(across).unionByName(uncut)
+    return _cut_up(whole, _used(sites, circular).select("record_id", "cut_top"), ["record_id"], circular)
 
 
 def chosen_enzymes(sites: DataFrame, enzymes: DataFrame, most: int = 2) -> DataFrame:
@@ -84,14 +94,10 @@ def digest_lanes(records: DataFrame, enzymes: DataFrame, circular: bool = False)
     """
     sites = written(cut_sites(records, enzymes, circular), "cut-sites")  # the search is run once
     chosen = chosen_enzymes(sites, enzymes).select("record_id", "enzyme", "place")
-    used = sites.join(chosen, ["record_id", "enzyme"])
-    out = None
-    for lane in (0, 1, 2):
-        mine = used if lane == 0 else used.where(F.col("place") == lane)
-        cut = records.join(chosen if lane == 0 else chosen.where(F.col("place") == lane), "record_id", "left_semi")
-        one = fragments(cut, mine, circular).withColumn("lane", F.lit(lane))
-        out = one if out is None else out.unionByName(one)
-    return out.select("record_id", "lane", "from_pos", "to_pos", "size")
+    lanes = sites.join(chosen, ["record_id", "enzyme"]).select("record_id", "n", "cut_top", F.explode(F.array(F.lit(0), F.col("place"))).alias("lane"))
+    keys = ["record_id", "lane"]
+    found = _cut_up(lanes.select(*keys, "n").distinct(), _used(lanes, circular).select(*keys, "cut_top"), keys, circular)
+    return found.select("record_id", "lane", "from_pos", "to_pos", "size")
 
 
 def gel(frags: DataFrame, lane: str = "record_id") -> DataFrame:

@@ -172,11 +172,11 @@ def _regular(tiles: DataFrame, joined, strand: str, all_fixed: bool) -> DataFram
 
 def _whole(r: DataFrame, joined, strand: str) -> DataFrame:
     """Hits of regular motifs without a bound of width, or that look anywhere: each strand is read as a whole."""
-    d = joined(r.select(*[c for c in r.columns if c != "_t"], F.length("_t").cast("long").alias("n"), F.col("_t"), F.monotonically_increasing_id().alias("_row")).where(F.col("n") > 0))
+    d = joined(r.select(*[c for c in r.columns if c != "_t"], F.length("_t").cast("long").alias("n"), F.col("_t"), F.monotonically_increasing_id().alias("_row"), F.xxhash64("_t").alias("_same")).where(F.col("n") > 0))
     free = F.col("free")
     plus = F.when(free, F.col("_t")).otherwise(F.concat(F.lit(FIRST), "_t", F.lit(LAST)))
     minus = F.when(free, F.reverse(_complement(F.col("_t")))).otherwise(F.concat(F.lit(FIRST), F.reverse("_t"), F.lit(LAST)))
-    keys = ["record_id", "_name", "_offset", "n", "_nuc", "_row", *_MOTIF]
+    keys = ["record_id", "_name", "_offset", "n", "_nuc", "_row", "_same", *_MOTIF]
     d = _strands(d, strand, plus, minus, keys)
     forward, keys = F.col("strand") == "+", [*keys, "strand"]
     look, taken = F.when(forward, F.col("look")).otherwise(F.col("back")), F.when(forward, F.col("taken")).otherwise(F.col("taken_back"))
@@ -195,8 +195,9 @@ def _whole(r: DataFrame, joined, strand: str) -> DataFrame:
     if strand != "both":
         return d
     palindrome = F.col("match") == F.reverse(_complement(F.col("match")))
-    seen = d.where(forward & palindrome).select("_row", "motif", F.lit("-").alias("strand"), "start", "end", "match")
-    return d.join(seen, ["_row", "motif", "strand", "start", "end", "match"], "left_anti")
+    # Rows with one id and one text have the same hits, so they need not be told apart here.
+    on = ["record_id", "_same", "motif", "strand", "start", "end", "match"]
+    return d.join(d.where(forward & palindrome).withColumn("strand", F.lit("-")).select(*on), on, "left_anti")
 
 
 def _bound(d: DataFrame, plain: bool) -> DataFrame:

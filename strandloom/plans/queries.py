@@ -14,6 +14,7 @@ from ..functions.letters import letters
 from ..lang.motif import motif
 from ..operators import background as chance
 from ..operators import digest as dig
+from ..operators import findings as told
 from ..operators import library as lib
 from ..operators import orfs as frames
 from ..operators import pwm
@@ -245,14 +246,18 @@ def uniprot_defline(spark: SparkSession, d: str) -> DataFrame:
     return s.select("name", *[x[c].alias(c) for c in ("description", "organism", "gene")])
 
 
-@query("share_links", "select name, 'motif=' || trim(expr) as motif, scan as circular from motif_library where expr is not null")
+@query(
+    "share_links",
+    "select name, 'motif=' || trim(expr) as motif, scan as circular, 'motif=' || replace(replace(replace(replace(replace(replace(url_encode(trim(expr)), '%20', '+'), '%28', '('), '%29', ')'), '%27', chr(39)), '%22', chr(34)), '%2F', '/') "
+    "|| case when scan then '&circular=true' else '' end as link from motif_library where expr is not null",
+)
 def share_links(spark: SparkSession, d: str) -> DataFrame:
-    """Encoded and decoded again."""
+    """The link, and what is read from it again."""
     lib = table(spark, d, "motif_library").where(F.col("expr").isNotNull())
     link = ids.encode_link(F.col("expr"), F.lit(None).cast("string"), F.lit(0), F.col("scan"))
     back = ids.decode_link(F.concat(F.lit("#"), link))
     circular = F.when(F.col("scan").isNotNull(), F.coalesce(F.try_element_at(back, F.lit("circular")) == "true", F.lit(False)))
-    return lib.select("name", F.concat(F.lit("motif="), back["motif"]).alias("motif"), circular.alias("circular"))
+    return lib.select("name", F.concat(F.lit("motif="), back["motif"]).alias("motif"), circular.alias("circular"), link.alias("link"))
 
 
 @query("fasta_text", "select record_id, '>' || coalesce(name, '') || case when coalesce(description, '') <> '' then ' ' || description else '' end || case when s <> '' then chr(10) || regexp_replace(regexp_replace(s, '(.{70})', '\\1\n', 'g'), '\\n$', '') else '' end as fasta from (select *, coalesce(regexp_replace(seq, '[^A-Za-z]', '', 'g'), '') s from seq_records)")
@@ -397,6 +402,31 @@ def library_scan(spark: SparkSession, d: str) -> DataFrame:
     return scan(_records(spark, d), table(spark, d, "motif_library")).select("record_id", "motif", "start", "end", "strand", "match")
 
 
+_WORDS = r"""^("[A-Za-z]+"|\(iupac "[A-Z]+"\))$"""
+
+
+@query(
+    "library_scan_words",
+    "with recursive " + sql.STRANDS + ", "
+    r"""lb as (select name, alphabet, upper(regexp_extract(expr, '"([A-Za-z]+)"', 1)) pat, starts_with(expr, '(') codes from motif_library
+            where coalesce(scan, true) and lower(coalesce(category, '')) <> 'restriction' and regexp_matches(expr, '^("[A-Za-z]+"|\(iupac "[A-Z]+"\))$') and name is not null),
+        bs(code, base) as (values """ + _CODES + r"""),
+        ex as (select name, alphabet, pat, 0 k, '' w from lb where codes union all select ex.name, ex.alphabet, ex.pat, ex.k + 1, ex.w || base from ex join bs on bs.code = substring(ex.pat, ex.k + 1, 1) where ex.k < length(ex.pat)),
+        wd as (select name, alphabet, w from ex where k = length(pat) union all select name, alphabet, pat from lb where not codes),
+        wn as (select distinct name, nuc, case when nuc then replace(w, 'U', 'T') else w end w from wd, (values (true), (false)) c(nuc) where alphabet is null or (alphabet <> 'protein') = nuc),
+        ln as (select distinct nuc, length(w) l from wn),
+        ps as (select record_id, strand, kind in ('dna', 'rna') nuc, n, l, i, substring(q, i + 1, l) x from (select *, unnest(range(0, n)) i from st join ln on ln.nuc = (kind in ('dna', 'rna')))),
+        ft as (select record_id, strand, n, i, name motif, x from ps join wn on ps.x = wn.w and ps.nuc = wn.nuc),
+        ht as (select record_id, motif, case strand when '+' then i else n - i - length(x) end s, strand, x from ft)
+        select record_id, motif, s as "start", s + length(x) as "end", strand, x as "match" from ht
+        where strand = '+' or not exists (select 1 from ht g where g.strand = '+' and g.record_id = ht.record_id and g.motif = ht.motif and g.s = ht.s and g.x = ht.x)""",
+)
+def library_scan_words(spark: SparkSession, d: str) -> DataFrame:
+    """The scan with all usable entries that are plain letters or codes, which SQL can check; library_scan has the others too."""
+    library = table(spark, d, "motif_library").where(F.col("expr").rlike(_WORDS))
+    return scan(_records(spark, d), library).select("record_id", "motif", "start", "end", "strand", "match")
+
+
 @query("library_scan_collapsed")
 def library_scan_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(scan(_records(spark, d), table(spark, d, "motif_library")), ["record_id"]).drop("score")
@@ -876,3 +906,32 @@ def digest_lanes(spark: SparkSession, d: str) -> DataFrame:
 def annotated_docs(spark: SparkSession, d: str) -> DataFrame:
     doc = F.concat(F.lit("<b>pattern</b> "), F.coalesce("doc", F.lit("")))
     return table(spark, d, "motif_library").select("name", ids.annotate(doc, ["pattern", "invented operator", "operator", "width"]).alias("annotated"))
+
+
+def _many(n: str, one: str, several: str) -> str:
+    return f"{n} || ' ' || case when {n} = 1 then '{one}' else '{several}' end"
+
+
+@query(
+    "scan_findings",
+    f"""with {_MATCHES}, m as (select *, max(e) over (partition by sequence, strand order by s, e rows between unbounded preceding and 1 preceding) b from ok),
+        c as (select sequence, count(*) hits, count(distinct motif) patterns, count(*) filter (where b is null or s >= b) places, count(*) filter (where motif in (select name from motif_library where alphabet = 'rna')) rna from m group by 1)
+        select *, {_many("hits", "match", "matches")} || ' of ' || {_many("patterns", "pattern", "patterns")} || case when places < hits then ', at ' || {_many("places", "place", "places")} else '' end
+        || case when rna > 0 then '; ' || {_many("rna", "tells", "tell")} || ' of RNA only' else '' end as said from c""",
+)
+def scan_findings(spark: SparkSession, d: str) -> DataFrame:
+    return told.scan_findings(table(spark, d, "motif_matches"), table(spark, d, "motif_library"), "sequence")
+
+
+@query("orf_findings", _ORFS + f"select record_id, frames, longest, {_many('frames', 'reading frame', 'reading frames')} || ', the longest of ' || (longest // 3) || ' codons' as said from (select record_id, count(*) frames, max(z - a) longest from v group by 1)")
+def orf_findings(spark: SparkSession, d: str) -> DataFrame:
+    return told.orf_findings(frames.orfs(_records(spark, d)))
+
+
+@query(
+    "digest_findings",
+    SQL["digest_linear"].replace("select record_id, f as from_pos, z as to_pos, z - f as size from g where z is not null", "")
+    + f", y as (select record_id, count(*) pieces, max(z - f) largest, min(z - f) smallest from g where z > f group by 1) select *, case when pieces = 1 then 'uncut' else {_many('pieces', 'piece', 'pieces')} || ' of ' || smallest || ' to ' || largest || ' letters' end as said from y",
+)
+def digest_findings(spark: SparkSession, d: str) -> DataFrame:
+    return told.digest_findings(dig.fragments(_records(spark, d), _cut(spark, d)))

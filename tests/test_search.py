@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.alphabet import reverse_complement
 from strandloom.lang.kernels import backtracking, kernel
 from strandloom.lang.motif import MotifError, motif
+from strandloom.operators.named import motif_view, register_motif
 from strandloom.operators.search import absolute, first_hits, scan, search, usable_motifs, whole_matches
 
 from test_motif import random_motif
@@ -139,3 +140,19 @@ def test_whole_matches_of_every_motif(spark):
     ready = lambda n, t: t.upper() if n == "site" else t.upper().replace("U", "T")
     assert found == {i: brute[n](ready(n, t)) if n in brute and t is not None else None for i, n, t in rows}
     assert sum(x is True for x in found.values()) >= 12
+
+
+def test_motifs_by_name_in_sql(spark):
+    assert register_motif(spark, "ebox", '(iupac "CANNTG")') == ["ebox_whole", "ebox_in", "ebox_starts"]
+    register_motif(spark, "early", '(n-terminal "AC")')
+    texts = ["cacgtg", "TTCAcg\nUGCAAATG", "ACAC", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").createOrReplaceTempView("some_texts")
+    rows = spark.sql("select ebox_whole(t) w, ebox_in(t) b, ebox_starts(t) s, early_starts(t) e from some_texts order by i").collect()
+    assert [tuple(r) for r in rows] == [(True, True, [0], []), (False, True, [2, 7], []), (False, False, [], [0]), (False, False, [], []), (None, None, None, None)]
+    for bad in ('(edit 1 "ACGT")', '(regex "A+")'):
+        with pytest.raises(MotifError):
+            register_motif(spark, "x", bad)
+    with pytest.raises(MotifError):
+        register_motif(spark, "x y", '"A"')
+    motif_view("hits", spark.createDataFrame(RECORDS, SCHEMA), '"GAATTC"')
+    assert spark.sql("select count(*) n from hits").first().n == 5
