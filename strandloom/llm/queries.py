@@ -147,6 +147,21 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation_by_source(table(spark, d, "documents"))
 
 
-@query("p8_limits")
+@query(
+    "p8_limits",
+    """
+    with t as (select distinct coalesce(source, '') source, length(text)::bigint c, strlen(text)::bigint b, text from documents
+               where rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288) || chr(65279) || chr(8203)) <> ''),
+    l as (select source, 'chars' unit, c as length from t union all select source, 'bytes', b from t),
+    n as (select source, unit, length, count(*) texts from l group by all),
+    r as (select *, (sum(texts) over (partition by source, unit order by length desc rows unbounded preceding))::bigint at_risk from n),
+    w as (select *, list_sort(list(texts) over v) o, avg(at_risk) over v a from r window v as (partition by source, unit order by length range between 16 preceding and 16 following)),
+    e as (select *, at_risk * ((coalesce(list_sum(o[1:greatest(len(o) - 3, 0)]), 0) + 1) / (a * 30)) expected from w),
+    p as (select *, case when texts > expected then exp(-(texts * ln(texts / expected) - texts + expected)) else 1.0 end p, count(*) over (partition by source, unit) m from e),
+    k as (select *, row_number() over (partition by source, unit order by p, length) i from p where p <= 1e-4),
+    u as (select *, max(case when p <= i * 1e-4 / m then i end) over (partition by source, unit) upto from k)
+    select source, unit, length, texts, at_risk, texts / at_risk as hazard, expected, p from u where i <= upto
+    """,
+)
 def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return field_limits(table(spark, d, "documents"))
