@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..session import hinted, written
+
 
 def aligned_sites(matches: DataFrame) -> DataFrame:
     """(motif, site): matched texts of each motif's most frequent width (the narrowest of equally frequent ones), upper case, U as T."""
@@ -12,7 +14,7 @@ def aligned_sites(matches: DataFrame) -> DataFrame:
     m = m.withColumn("_w", F.length("site"))
     widths = m.groupBy("motif", "_w").agg(F.count(F.lit(1)).alias("_n"))
     usual = widths.groupBy("motif").agg(F.max_by("_w", F.struct("_n", -F.col("_w"))).alias("_w"))
-    return m.join(F.broadcast(usual), ["motif", "_w"]).select("motif", "site")  # one row a motif of the library
+    return m.join(hinted(written(usual, "widths")), ["motif", "_w"]).select("motif", "site")
 
 
 def train(sites: DataFrame, pseudocount: float = 0.5) -> DataFrame:

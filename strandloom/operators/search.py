@@ -23,7 +23,7 @@ from ..functions.sequence import guess_type, normalize
 from ..lang.kernels import kernel, taken_up
 from ..lang.motif import Edge, MotifError, first_letters, motif, nodes, normal, show, span
 from ..lang.patterns import FIRST, INNER, LAST, OPEN, mirrored, patterns, whole
-from ..session import written
+from ..session import hinted, written
 
 #: Starts in a tile of the JVM's expressions and of the array kernels.
 TILE, WIDE_TILE = 1 << 10, 1 << 15
@@ -442,8 +442,7 @@ def whole_matches(matches: DataFrame, library: DataFrame) -> DataFrame:
     """
     source = library.where(F.col("name").isNotNull()).select(F.col("name").alias("motif"), "expr", "alphabet")
     motifs = written(source.mapInArrow(_whole_patterns, "motif string, expr string, alphabet string, readable boolean, pattern string"), "patterns")
-    hint = F.broadcast(motifs) if motifs.count() <= MOST else motifs
-    m = matches.select("match_id", "motif", "match").join(hint, "motif", "left")
+    m = matches.select("match_id", "motif", "match").join(hinted(motifs), "motif", "left")
     prepared = F.when(F.coalesce("alphabet", F.lit("dna")) != "protein", F.translate(F.upper("match"), "U", "T")).otherwise(F.upper("match"))
     slow = F.coalesce(F.col("readable") & F.col("pattern").isNull() & F.col("match").isNotNull(), F.lit(False))
     quick = m.where(~slow).select("match_id", F.when(F.col("pattern").isNotNull(), F.regexp_like(prepared, F.col("pattern"))).alias("whole"))

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, memory: str = "12g", **conf: str) -> SparkSession:
@@ -53,6 +54,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table with the hint to broadcast it if it has at most ``most`` rows, which are counted; otherwise as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -139,3 +139,12 @@ def test_collapse_best_reads_hits_of_nan_score(spark, tmp_path):
     row = "1L as record_id, 's' as sequence, 'm' as motif, '+' as strand, 3L as start, 9L as end, double('nan') as score"
     spark.sql(f"select {row}").write.parquet(str(tmp_path / "motif_matches.parquet"))
     assert [(r.start, r.end) for r in QUERIES["collapse_best"](spark, str(tmp_path)).collect()] == [(3, 9)]
+
+
+def test_one_island_of_a_million_hits(spark):
+    hits = spark.range(1_000_000).select(F.lit("s").alias("sequence"), F.lit("m").alias("motif"), F.lit("+").alias("strand"), F.col("id").alias("start"), (F.col("id") + 5).alias("end"), (F.col("id") % 7).cast("double").alias("score"))
+    kept = non_overlapping(hits, ["sequence"]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start") % 5).alias("r")).first()
+    assert (kept.n, kept.r) == (200_000, 0)
+    best = collapse(hits, ["sequence"], "best").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).first()
+    assert best.n > 100_000
+    assert best.s is not None

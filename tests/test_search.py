@@ -148,7 +148,7 @@ def test_motifs_by_name_in_sql(spark):
     texts = ["cacgtg", "TTCAcg\nUGCAAATG", "ACAC", "", None]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").createOrReplaceTempView("some_texts")
     rows = spark.sql("select ebox_whole(t) w, ebox_in(t) b, ebox_starts(t) s, early_starts(t) e from some_texts order by i").collect()
-    assert [tuple(r) for r in rows] == [(True, True, [0], []), (False, True, [2, 7], []), (False, False, [], [0]), (False, False, [], []), (None, None, None, None)]
+    assert [tuple(r) for r in rows] == [(True, True, [0], []), (False, True, [2, 8], []), (False, False, [], [0]), (False, False, [], []), (None, None, None, None)]
     for bad in ('(edit 1 "ACGT")', '(regex "A+")'):
         with pytest.raises(MotifError):
             register_motif(spark, "x", bad)
