@@ -29,6 +29,8 @@ from ..operators.intervals import merge_intervals
 from ..session import written
 
 TILE = 1 << 15
+#: Letters of tiles that are gone through end to end.
+TOGETHER = 1 << 18
 #: Odd multipliers of the two independent hashes, and of the mixing that follows.
 _K = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -74,15 +76,15 @@ class _Hashes:
         return _mixed((self.before[places + length] - self.before[places]) * self.up[places])
 
 
-def _minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the leftmost minimum of each run of ``width`` values; of equal neighbours the first, the last and every width-th between."""
+def _minima(h: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
+    """Positions of the leftmost minimum of each valid run of ``width`` values; of equal neighbours the first, the last and every width-th between."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
     low, w = h, 1
     while 2 * w <= width:
         low, w = np.minimum(low[: len(low) - w], low[w:]), 2 * w
-    low = np.minimum(low[:n], low[width - w : width - w + n])
+    low = np.where(valid[:n], np.minimum(low[:n], low[width - w : width - w + n]), np.uint64(0))
     # A position is a minimum of some run if it equals the lowest of any run that contains it.
     high, w = np.concatenate([np.zeros(width - 1, h.dtype), low, np.zeros(width - 1, h.dtype)]), 1
     top = high
@@ -90,7 +92,7 @@ def _minima(h: np.ndarray, width: int) -> np.ndarray:
         top, w = np.maximum(top[: len(top) - w], top[w:]), 2 * w
     m = len(high) - width + 1
     top = np.maximum(top[:m], top[width - w : width - w + m])
-    at = np.flatnonzero(h == top)
+    at = np.flatnonzero((h == top) & (top > 0))
     same_left = np.zeros(len(at), bool)
     same_left[1:] = (at[1:] == at[:-1] + 1) & (h[at[1:]] == h[at[:-1]])
     first = np.flatnonzero(~same_left)
@@ -109,25 +111,34 @@ def _anchors(length: int, tile: int):
     half = length // 2
     width = length - half + 1
 
+    def of_texts(key: np.ndarray, no: np.ndarray, base: np.ndarray, n: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+        """Many tiles end to end; only runs of windows within one of them count."""
+        size = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(size) - size
+        own = no * tile - base  # where a tile's own starts begin in its text
+        stop = np.maximum(np.minimum(own + tile, n - length + 1 - base), own)  # behind the last own start of a full window
+        joined = "".join(texts)
+        edges = np.zeros(len(joined) + 1, np.int32)
+        np.add.at(edges, begin + own, 1)
+        np.add.at(edges, begin + stop, -1)
+        one, two = _Hashes(joined), _Hashes(joined, 1)
+        h = one.all(half)
+        at = _minima(h, width, np.cumsum(edges) > 0)
+        of = np.searchsorted(begin, at, side="right") - 1
+        lo, hi = np.maximum(at - (width - 1), begin[of]), np.minimum(at, begin[of] + size[of] - length)
+        wide = (hi - lo + 1).astype(np.uint64)
+        # All of the surrounding is one window; its width tells how many full-length ones it holds.
+        around, again = _join(_wide(one, lo, hi, length), wide), _join(_wide(two, lo, hi, length), wide, 1)
+        columns = [key[of], h[at].view(np.int64), around.view(np.int64), again.view(np.int64), lo - begin[of] + base[of], wide.astype(np.int32)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["_id", "_h", "_c", "_c2", "_lo", "_w"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, ...]] = []
-            for key, no, base, n, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = no * tile - base  # where the tile's own starts begin in its text
-                stop = min(own + tile, n - length + 1 - base)  # behind the last own start of a full window
-                if stop <= own:
-                    continue
-                one, two = _Hashes(text), _Hashes(text, 1)
-                h = one.all(half)
-                at = own + _minima(h[own : stop + width - 1], width)
-                lo, hi = np.maximum(at - (width - 1), max(0, -base)), np.minimum(at, len(text) - length)
-                size = (hi - lo + 1).astype(np.uint64)
-                # All of the surrounding is one window; its width tells how many full-length ones it holds.
-                around = _join(_wide(one, lo, hi, length), size)
-                again = _join(_wide(two, lo, hi, length), size, 1)
-                found.append((np.full(len(at), key, np.int64), h[at].view(np.int64), around.view(np.int64), again.view(np.int64), lo + base, size.astype(np.int32)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["_id", "_h", "_c", "_c2", "_lo", "_w"])
+            numbers, texts = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], batch.column(4).to_pylist()
+            part = np.cumsum([len(t) for t in texts]) // TOGETHER if texts else []
+            for k in np.unique(part):
+                rows = np.flatnonzero(part == k)
+                yield of_texts(*(c[rows] for c in numbers), texts[rows[0] : rows[-1] + 1])
 
     return run
 
@@ -162,7 +173,7 @@ def shared_spans(records: DataFrame, length: int = 100, tile: int = TILE, block:
     """
     # A surrounding reaches half a window to the left of a tile's starts and 1.5 windows to the right.
     own = records.where(F.col("record_id").isNotNull()).select(F.col("record_id").cast("long").alias("_id"), letters(F.col("seq")).alias("_s"))
-    cut = tiles(own.where(F.length("_s") >= length), "_id", "_s", tile, length, 3 * length)
+    cut = tiles(own, "_id", "_s", tile, length, 3 * length)
     # Written down once: a twentieth of the letters, used by every level.
     anchors = written(cut.mapInArrow(_anchors(length, tile), "_id long, _h long, _c long, _c2 long, _lo long, _w int"), "span-anchors")
     # Level one: one row for each distinct surrounding of a half-length window.

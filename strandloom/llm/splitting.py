@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.letters import letters, tiles
+from ..session import hinted
 
 #: A natural boundary is a run of so many filler letters.
 RUN = 10
@@ -28,7 +29,7 @@ def _limited(records: DataFrame, limits: DataFrame) -> DataFrame:
     """(record_id, type, offset, letters, n, max_letters, overlap_letters) of the records over their type's limit."""
     lim = limits.select(F.col("type").alias("_type"), F.col("max_letters").cast("long").alias("_max"), F.col("overlap_letters").cast("long").alias("_overlap"))
     r = records.select("record_id", F.col("type").alias("_type"), F.coalesce(F.col("offset"), F.lit(0)).cast("long").alias("_offset"), letters(F.col("seq")).alias("_letters"))
-    r = r.join(F.broadcast(lim), "_type")  # one row a type
+    r = r.join(hinted(lim), "_type")
     return r.withColumn("_n", F.length("_letters").cast("long")).where(F.col("_n") > F.col("_max"))
 
 
@@ -167,7 +168,7 @@ def rejoined(records: DataFrame, limits: DataFrame) -> DataFrame:
     ``within`` says that no piece exceeds the limit, ``joined`` that consecutive ones share the overlap exactly.
     """
     lim = limits.select(F.col("type").alias("_type"), F.col("max_letters").alias("_max"), F.col("overlap_letters").alias("_overlap"))
-    p = split_records(records, limits).join(records.select("record_id", F.col("type").alias("_type")), "record_id").join(F.broadcast(lim), "_type")
+    p = split_records(records, limits).join(records.select("record_id", F.col("type").alias("_type")), "record_id").join(hinted(lim), "_type")
     w = W.partitionBy("record_id").orderBy("piece")
     before = F.lag(F.struct((F.col("offset") + F.col("length")).alias("end"), F.right("seq", F.col("_overlap")).alias("tail"))).over(w)
     p = p.withColumn("_before", before)
