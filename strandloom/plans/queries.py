@@ -416,7 +416,7 @@ _WORDS = r"""^("[A-Za-z]+"|\(iupac "[A-Z]+"\))$"""
         wn as (select distinct name, nuc, case when nuc then replace(w, 'U', 'T') else w end w from wd, (values (true), (false)) c(nuc) where alphabet is null or (alphabet <> 'protein') = nuc),
         ln as (select distinct nuc, length(w) l from wn),
         ps as (select record_id, strand, kind in ('dna', 'rna') nuc, n, l, i, substring(q, i + 1, l) x from (select *, unnest(range(0, n)) i from st join ln on ln.nuc = (kind in ('dna', 'rna')))),
-        ft as (select record_id, strand, n, i, name motif, x from ps join wn on ps.x = wn.w and ps.nuc = wn.nuc),
+        ft as (select record_id, strand, n, i, name motif, x from ps join wn on ps.x = wn.w and ps.nuc = wn.nuc and ps.l = length(wn.w)),
         ht as (select record_id, motif, case strand when '+' then i else n - i - length(x) end s, strand, x from ft)
         select record_id, motif, s as "start", s + length(x) as "end", strand, x as "match" from ht
         where strand = '+' or not exists (select 1 from ht g where g.strand = '+' and g.record_id = ht.record_id and g.motif = ht.motif and g.s = ht.s and g.x = ht.x)""",
