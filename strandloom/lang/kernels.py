@@ -320,22 +320,37 @@ class Kernel:
         """Hits in a text."""
         return self._array(text) if self._array else self.general(text, first, len(text) if last is None else last)
 
-    def of_tile(self, text: str, own: tuple[int, int], base: int, n: int, strand: str) -> tuple[Found, np.ndarray, list[str]]:
+    @property
+    def joinable(self) -> bool:
+        """Whether texts may be searched end to end: paired stems cannot reach over a border that is as wide as the widest match."""
+        return self._array is not None and isinstance(self.node, Hairpin) and not self.node.mismatches
+
+    def of_many(self, texts: list[str]) -> list[Found]:
+        """Hits of several texts, searched end to end."""
+        border = "\0" * int(2 * self.node.hi + self.node.loop.hi + 1)
+        begin = np.cumsum([0] + [len(t) + len(border) for t in texts])
+        i, j, numbers, bounds = self.hits(border.join(texts))
+        cut = np.searchsorted(i, begin)
+        part = lambda x, k: x[cut[k] : cut[k + 1]] - begin[k]
+        return [(part(i, k), part(j, k), {}, {label: (part(a, k), part(b, k)) for label, (a, b) in bounds.items()}) for k in range(len(texts))]
+
+    def of_tile(self, text: str, own: tuple[int, int], base: int, n: int, strand: str, ready: tuple[Found | None, Found | None] = (None, None)) -> tuple[Found, np.ndarray, list[str]]:
         """Hits of a tile's own starts in forward positions of its text, whether each is forward, and the matched texts.
 
         A reverse hit belongs to the tile of its last forward letter; one that repeats a palindrome's forward hit is left out.
+        ``ready`` has the hits of the text and of its reverse complement, where they are known.
         """
         size, both = len(text), self.nuc and strand == "both"
         parts, ahead, texts = [], [], []
         if strand != "-" or not self.nuc:
-            i, j, numbers, bounds = found = self.hits(text, -base, n - base)
+            i, j, numbers, bounds = found = ready[0] or self.hits(text, -base, n - base)
             mine = np.flatnonzero((own[0] <= i) & (i < own[1]))
             parts.append((i[mine], j[mine], {k: v[mine] for k, v in numbers.items()}, {k: (a[mine], b[mine]) for k, (a, b) in bounds.items()}))
             ahead.append(np.ones(len(mine), bool))
             texts += [text[a:b] for a, b in zip(i[mine].tolist(), j[mine].tolist())]
         if self.nuc and strand != "+":
             back = reverse_complement(text)
-            i, j, numbers, bounds = self.hits(back, base + size - n, base + size)
+            i, j, numbers, bounds = ready[1] or self.hits(back, base + size - n, base + size)
             a, b = size - j, size - i
             keep = (own[0] < b) & (b <= own[1])
             if both:

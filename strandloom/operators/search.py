@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..alphabet import COMPLEMENT
+from ..alphabet import COMPLEMENT, reverse_complement
 from ..functions.letters import letters
 from ..functions.sequence import guess_type, normalize
 from ..lang.kernels import kernel, taken_up
@@ -29,6 +29,8 @@ from ..session import hinted, written
 TILE, WIDE_TILE = 1 << 10, 1 << 15
 _MOTIF = ["motif", "look", "back", "taken", "taken_back", "again", "located", "groups", "fixed", "widest", "free"]
 _OUT = ["record_id", "_name", "_offset", "n", "motif", "start", "end", "strand", "match", "score", "extra", "bindings"]
+#: Letters of tiles that a kernel goes through end to end.
+TOGETHER = 1 << 18
 #: Motifs of a library that are joined with the tiles at once; a larger one is scanned in several parts.
 MOST = 10_000
 _COMPLEMENTS = "".join(COMPLEMENT.get(c, "N") for c in ascii_uppercase)
@@ -264,12 +266,29 @@ def _kernels(strand: str):
             names=["record_id", "_name", "_offset", "n", "motif", "start", "end", "strand", "match", "score", "extra", "_bound"],
         )
 
+    def ready(rows: list[tuple]) -> Iterator[tuple]:
+        """(both strands' hits or none) of each row; neighbours with one motif are searched end to end where that is the same."""
+        at = 0
+        while at < len(rows):
+            source, nuc = rows[at][:2]
+            m, upto, letters_ = kernel(source, nuc), at + 1, len(rows[at][2])
+            while m.joinable and upto < len(rows) and rows[upto][:2] == (source, nuc) and letters_ < TOGETHER:
+                letters_ += len(rows[upto][2])
+                upto += 1
+            if upto - at > 1:
+                texts = [r[2] for r in rows[at:upto]]
+                yield from zip(m.of_many(texts), m.of_many([reverse_complement(t) for t in texts]) if nuc and strand != "+" else [None] * len(texts))
+            else:
+                yield None, None
+            at = upto
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list = []
             count = 0
-            for row, (source, nuc, text, base, own, upto, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "_nuc", "_window", "_wbase", "_own", "_upto", "n")))):
-                hits, ahead, texts = kernel(source, nuc).of_tile(text, (own, upto), base, n, strand)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("source", "_nuc", "_window", "_wbase", "_own", "_upto", "n"))))
+            for row, ((source, nuc, text, base, own, upto, n), known) in enumerate(zip(rows, ready(rows))):
+                hits, ahead, texts = kernel(source, nuc).of_tile(text, (own, upto), base, n, strand, known)
                 if texts:
                     found.append((row, hits, ahead, texts))
                     count += len(texts)
