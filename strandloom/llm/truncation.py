@@ -15,6 +15,8 @@ that are whole.  Shares don't grow with the corpus, and equal texts count once,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from ..session import hinted, written
 NEIGHBOURS, RATE = 16, 1e-4
 #: A word or line is a whole ending if the share of its uses at a cue's end that are whole is at least SHARE, with 95 percent confidence.
 SHARE, CONFIDENCE = 0.5, 1.645
-#: A line closes texts if at least this share of its uses do, and this share of the texts that get as far as it stop there; longer lines never do.
-CLOSING, STOPS, LONGEST_LINE = 0.1, 0.5, 200
+#: A line closes texts if at least this share of its uses do, and this share of the texts that get as far as it stop there.
+CLOSING, STOPS = 0.1, 0.5
+#: Beginnings of up to so many characters are written out; longer ones are found among sorted lines. It changes no result.
+LONGEST_LINE = 200
 #: A sentence's mark at a line's end; a next cue that goes on with a sentence; one in a script that doesn't tell.
 _MARKED = r"(?<!\.)[.!?。！？؟．](?:</?[A-Za-z][^<>]*>|[\s\"'”’»›)\]）」』♪])*$"
 _AHEAD = r"^(?:</?[A-Za-z][^<>]*>|\{[^{}]*\}|[^\p{L}\p{N}<{])*"
@@ -57,11 +61,88 @@ def _line_key(line: Column) -> Column:
     return F.regexp_replace(F.trim(line), r"\p{N}+", "0")
 
 
+def _spaced(key: Column) -> Column:
+    """A line with one blank between its words."""
+    return F.array_join(F.split(key, r"\s+"), " ")
+
+
 def _heads(key: Column) -> Column:
-    """All beginnings of a line of whole words, but for the line itself, each with the word that follows; none of a line that is too long to close texts."""
+    """All beginnings of a line of whole words, up to LONGEST_LINE characters and but for the line itself, each with the word that follows."""
     words = F.split(key, r"\s+")
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(F.array_join(F.slice(words, F.lit(1), i), " ").alias("head"), F.get(words, i).alias("next")))
-    return F.when((F.size(words) > 1) & (F.length(key) <= LONGEST_LINE), each).otherwise(F.array().cast("array<struct<head:string,next:string>>"))
+    # Behind each of the words that begin within so many characters, but the last of them, a beginning ends there.
+    lead = F.size(F.split(F.left(_spaced(key), F.lit(LONGEST_LINE + 1)), " "))
+    words = F.when(F.length(key) <= LONGEST_LINE, words).otherwise(F.slice(words, F.lit(1), lead))
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.array_join(F.slice(w, F.lit(1), i), " ").alias("head"), F.get(w, i).alias("next")))
+    # The words are an argument, so that they are split once and not for each beginning.
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, each(w)).otherwise(F.array().cast("array<struct<head:string,next:string>>"))), F.lit(0))
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """The number of bytes that both begin with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _inner(words: bool):
+    """Folds sorted lines (text, opened, ended, uses) into the beginnings that several of them share: (key, own, opened, ended, uses, top).
+
+    ``own`` counts the open texts of the line that is the beginning itself, the others count the longer lines, ``top`` the most open texts of one continuation.
+    With ``words`` texts end with a blank and beginnings are of whole words, without their last blank; otherwise they are lines themselves.
+    The beginnings of one line are held, as lengths, and nothing else.
+    """
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, stack = b"", [[0, 0, 0, 0, 0, 0, 0, 0]]  # length, own (opened, ended, uses), below it (opened, ended, uses), top
+
+        def close(upto: int) -> Iterator[tuple]:
+            while stack[-1][0] > upto:
+                length, *own, opened, ended, uses, top = stack.pop()
+                if opened and (words or own[0]):
+                    yield last[: length - words], own[0], opened, ended, uses, top
+                if stack[-1][0] < upto:
+                    stack.append([upto, 0, 0, 0, 0, 0, 0, 0])
+                above = stack[-1]
+                for k, more in enumerate((own[0] + opened, own[1] + ended, own[2] + uses)):
+                    above[4 + k] += more
+                above[7] = max(above[7], own[0] + opened)
+
+        for text, *counts in rows:
+            text = bytes(text)
+            shared = _common(last, text)
+            yield from close(last.rfind(b" ", 0, shared) + 1 if words else shared)
+            if stack[-1][0] < len(text):
+                stack.append([len(text), 0, 0, 0, 0, 0, 0, 0])
+            for k, more in enumerate(counts):
+                stack[-1][1 + k] += more
+            last = text
+        yield from close(0)
+
+    return fold
+
+
+def _under(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Folds sorted lines and heads (text, is_head), all with a blank at the end, into the lines that go on behind a head."""
+    head = None
+    for text, is_head in rows:
+        text = bytes(text)
+        if head is not None and text.startswith(head):
+            if not is_head and len(text) > len(head):
+                yield (text[:-1],)
+        elif is_head:
+            head = text
+
+
+def _folded(rows: DataFrame, fold, schema: str) -> DataFrame:
+    """The rows (text, ...) in the order of their texts' bytes, those with equal first LONGEST_LINE + 1 characters in one task; as rows of Python, which come a few at a time however long they are."""
+    near = rows.repartition(F.xxhash64(F.left("text", F.lit(LONGEST_LINE + 1)))).sortWithinPartitions("text")
+    out = rows.sparkSession.createDataFrame(near.withColumn("text", F.col("text").cast("binary")).rdd.mapPartitions(fold), schema, verifySchema=False)
+    return out.withColumn("key", F.col("key").cast("string"))
 
 
 def _discovered(tests: DataFrame, family: list[str], order: list[str], rate: float, size: str | None = None) -> DataFrame:
@@ -167,6 +248,30 @@ def endings(documents: DataFrame) -> DataFrame:
     )
 
 
+def _long(texts: DataFrame, lined: DataFrame) -> DataFrame:
+    """(kind, key, texts, _closed, _said) of the lines, and heads of lines, of more than LONGEST_LINE characters that may close texts; ``_said`` is their uses.
+
+    Only lines that share their first characters with another one are sorted, others have nothing longer behind them and no heads that several words follow.
+    """
+    opened = F.count_if(F.col("ending") == "open").alias("opened")
+    lines = written(texts.where(F.length("_line") > LONGEST_LINE).groupBy(F.col("_line").alias("key")).agg(opened, F.count(F.lit(1)).alias("ended")), "long-lines")
+    said = lined.where(F.length("key") > LONGEST_LINE).select("key", F.lit(0).cast("long").alias("opened"), F.lit(0).cast("long").alias("ended"), "uses")
+
+    def beginnings(rows: DataFrame, words: bool) -> DataFrame:
+        text = F.concat(_spaced(F.col("key")), F.lit(" ")) if words else F.col("key")
+        rows = rows.withColumn("text", text).withColumn("_g", F.xxhash64(F.left("text", F.lit(LONGEST_LINE + 1))))
+        shared = hinted(rows.where(F.col("opened") > 0).groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_g"))
+        rows = rows.join(shared, "_g", "left_semi").select("text", "opened", "ended", "uses")
+        return _folded(rows, _inner(words), "key binary, own long, opened long, ended long, uses long, top long").where(F.length("key") > LONGEST_LINE)
+
+    open_lines = lines.where(F.col("opened") > 0).withColumn("uses", F.lit(0).cast("long"))
+    passed = beginnings(open_lines, False).where(F.col("own") < STOPS * (F.col("own") + F.col("opened"))).select("key")
+    whole = open_lines.drop("uses").join(passed, "key", "left_anti").join(said.select("key", "uses"), "key", "left")
+    whole = whole.select(F.lit("line").alias("kind"), "key", F.col("opened").alias("texts"), F.lit(0).cast("long").alias("_closed"), F.coalesce("uses", F.lit(0)).cast("long").alias("_said"))
+    heads = beginnings(lines.withColumn("uses", F.lit(0).cast("long")).unionByName(said), True).where((F.col("opened") >= STOPS * F.col("ended")) & (F.col("top") <= STOPS * F.col("opened")))
+    return whole.unionByName(heads.select(F.lit("head").alias("kind"), "key", F.col("opened").alias("texts"), (F.col("ended") - F.col("opened")).alias("_closed"), F.col("uses").alias("_said")))
+
+
 def closing_lines(ends: DataFrame, uses: DataFrame, rate: float = RATE) -> DataFrame:
     """(kind, key) of the lines, and heads of lines, behind which texts end by themselves.
 
@@ -176,7 +281,8 @@ def closing_lines(ends: DataFrame, uses: DataFrame, rate: float = RATE) -> DataF
     """
     texts = ends.select("_h", "ending", "_line").distinct()
     lines = texts.where((F.col("ending") == "open") & (F.length("_line") > 0)).groupBy(F.col("_line").alias("key")).agg(F.count(F.lit(1)).alias("texts"))
-    n_texts, n_cues = texts.count(), uses.where(F.col("kind") == "word").agg(F.sum("uses")).first()[0] or 0
+    n_texts, longest = texts.agg(F.count(F.lit(1)), F.max(F.length("_line"))).first()
+    n_cues = uses.where(F.col("kind") == "word").agg(F.sum("uses")).first()[0] or 0
     usual = n_texts / max(n_texts + n_cues, 1)
     # Texts whose last line begins with a key, however it goes on.
     reach = lines.select("texts", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(LONGEST_LINE))), lambda i: F.left("key", i))).alias("key")).groupBy("key").agg(F.sum("texts").alias("_reach"))
@@ -186,15 +292,17 @@ def closing_lines(ends: DataFrame, uses: DataFrame, rate: float = RATE) -> DataF
     follow = texts.select("ending", F.explode(_heads(F.col("_line"))).alias("_x")).groupBy("_x.head", "_x.next").agg(opened.alias("_m"), F.count(F.lit(1)).alias("_all"))
     heads = follow.groupBy("head").agg(F.sum("_m").alias("texts"), F.sum("_all").alias("_ended"), F.max("_m").alias("_top")).where((F.col("texts") >= STOPS * F.col("_ended")) & (F.col("_top") <= STOPS * F.col("texts")))
     heads = heads.select(F.lit("head").alias("kind"), F.col("head").alias("key"), "texts", (F.col("_ended") - F.col("texts")).alias("_closed"))
+    found, lined = whole.unionByName(heads).withColumn("_said", F.lit(None).cast("long")), uses.where(F.col("kind") == "line")
+    if (longest or 0) > LONGEST_LINE:
+        found = found.unionByName(_long(texts, lined))
     # Fewer texts than this cannot be significant, however few uses a line has.
     possible = _tail(F.col("texts").cast("double"), F.col("texts") * F.lit(usual)) <= rate
-    found = whole.unionByName(heads).withColumn("_family", F.count(F.lit(1)).over(W.partitionBy("kind"))).where(possible)
+    found = found.withColumn("_family", F.count(F.lit(1)).over(W.partitionBy("kind"))).where(possible)
     found = written(found, "closing")
-    few = hinted(found.select("kind", "key"))
-    lined = uses.where(F.col("kind") == "line")
+    few = hinted(found.where(F.col("_said").isNull()).select("kind", "key"))
     mine = lined.select("kind", "key", "uses").unionByName(lined.select(F.lit("head").alias("kind"), F.explode(_heads(F.col("key"))["head"]).alias("key"), "uses"))
     mine = mine.join(few, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.sum("uses").alias("uses"))
-    c = found.join(mine, ["kind", "key"], "left").withColumn("_n", F.col("texts") + F.col("_closed") + F.coalesce("uses", F.lit(0)))
+    c = found.join(mine, ["kind", "key"], "left").withColumn("_n", F.col("texts") + F.col("_closed") + F.coalesce("uses", "_said", F.lit(0)))
     c = c.withColumn("p", _tail(F.col("texts").cast("double"), F.col("_n") * F.lit(usual)))
     c = _discovered(c, ["kind"], ["key"], rate, "_family").where(_at_least(F.col("texts"), F.col("_n")) >= CLOSING)
     # Heads are counted in unclosed lines; closed ones are told by their first word, which is a use of every head that begins so.
@@ -203,6 +311,16 @@ def closing_lines(ends: DataFrame, uses: DataFrame, rate: float = RATE) -> DataF
     return c.where((F.col("kind") == "line") | (F.col("texts") >= CLOSING * F.coalesce("_firsts", F.lit(0)))).select("kind", "key")
 
 
+def _by_line(closing: DataFrame, lines: DataFrame) -> DataFrame:
+    """The closing lines and heads; instead of heads of more than LONGEST_LINE characters, as heads the lines that go on behind one."""
+    long = (F.col("kind") == "head") & (F.length("key") > LONGEST_LINE)
+    heads = closing.where(long).select(F.concat("key", F.lit(" ")).alias("text"), F.lit(True).alias("is_head"))
+    lines = lines.select(F.concat(_spaced(F.col("_line")), F.lit(" ")).alias("text"), F.lit(False).alias("is_head")).distinct()
+    first = F.xxhash64(F.left("text", F.lit(LONGEST_LINE + 1)))
+    rows = heads.unionByName(lines.withColumn("_g", first).join(hinted(heads.select(first.alias("_g")).distinct()), "_g", "left_semi").drop("_g"))
+    return closing.where(~long).unionByName(_folded(rows, _under, "key binary").select(F.lit("head").alias("kind"), "key"))
+
+
 def truncated(documents: DataFrame, rate: float = RATE, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, source, chars, bytes, limit, unit, at_limit) of the texts that lost their end.
 
@@ -220,12 +338,20 @@ def truncated(documents: DataFrame, rate: float = RATE, neighbours: int = NEIGHB
         e = e.join(mine, (F.coalesce("source", F.lit("")) == F.col(f"_s_{unit}")) & (F.col(unit) == F.col(f"_at_{unit}")), "left").drop(f"_s_{unit}", f"_at_{unit}")
     e = e.withColumn("_l", F.least("_l_chars", "_l_bytes"))
     known = uses.where((F.col("kind") != "first") & (_at_least(F.col("whole"), F.col("uses")) >= SHARE)).select("kind", "key", F.lit(True).alias("_known"), F.lit(False).alias("_closes"))
-    told = known.unionByName(closing_lines(ends, uses, rate).select("kind", "key", F.lit(False).alias("_known"), F.lit(True).alias("_closes")))
+    closing, long = closing_lines(ends, uses, rate), F.length("_line") > LONGEST_LINE
+    # A long line asks for its long heads at once: whether it goes on behind one of them is told under its own words.
+    has_long = not ends.where((F.col("ending") != "closed") & long).isEmpty()
+    if has_long:
+        closing = _by_line(written(closing, "closing-lines"), e.where(long).select("_line").distinct())
+    told = known.unionByName(closing.select("kind", "key", F.lit(False).alias("_known"), F.lit(True).alias("_closes")))
     told = told.groupBy("kind", "key").agg(F.bool_or("_known").alias("_known"), F.bool_or("_closes").alias("_closes"))
     # All questions about a text are asked in one join, so that the corpus is gone through once.
     kept = ["doc_id", "source", "ending", "address", "chars", "bytes", "_l"]
     ask = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
-    asked = e.select(*kept, F.explode(F.concat(F.array(ask("word", "_word"), ask("line", "_line")), F.transform(_heads(F.col("_line")), lambda h: F.struct(F.lit("head").alias("kind"), h["head"].alias("key"))))).alias("_x")).select(*kept, "_x.*")
+    asks = [F.array(ask("word", "_word"), ask("line", "_line")), F.transform(_heads(F.col("_line")), lambda h: F.struct(F.lit("head").alias("kind"), h["head"].alias("key")))]
+    if has_long:
+        asks.append(F.when(long, F.array(F.struct(F.lit("head").alias("kind"), _spaced(F.col("_line")).alias("key")))).otherwise(F.array().cast("array<struct<kind:string,key:string>>")))
+    asked = e.select(*kept, F.explode(F.concat(*asks)).alias("_x")).select(*kept, "_x.*")
     asked = asked.join(told, ["kind", "key"], "left")
     has = lambda kind, what: F.coalesce(F.bool_or((F.col("kind") == kind) & F.col(what)), F.lit(False))
     asked = asked.groupBy(*kept).agg(has("word", "_known").alias("_w"), has("line", "_known").alias("_k"), has("line", "_closes").alias("_line"), has("head", "_closes").alias("_head"))

@@ -2,7 +2,8 @@
 
 import random
 
-from strandloom.llm.truncation import field_limits, truncated, truncation_by_source
+from strandloom.llm import truncation
+from strandloom.llm.truncation import closing_lines, field_limits, truncated, truncation_by_source
 
 SCHEMA = "doc_id long, source string, text string, kind string, length long, _last string"
 
@@ -91,3 +92,35 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert truncated(empty).count() == 0
     assert truncation_by_source(empty).count() == 0
+
+
+def test_closing_lines_of_any_length(spark):
+    said = lambda k: "".join(f"1\n00:00:01,000 --> 00:00:02,000\nI sold map {k} of {j}.\n\n" for j in range(60 + 3 * k))
+    names = ["Ann", "Bo", "Cleo", "Dan", "Eve", "Finn", "Gus", "Hal"]
+    same = "This recording was made for everyone who " + "sings and " * 30 + "dances"
+    credit = "Words set down with " + "great care and " * 20 + "patience by"
+    # Lines of over 200 characters: the same, with a long head before the names, and with a short head before long lists.
+    taught = [x for k in range(8) for x in (same, f"{credit} {names[k]}", f"{credit} {names[k]} and their friends", "Helpers: " + ", ".join(names[k:] + names[:k] + [f"{n}{m}" for n in names for m in "abcdef"]))]
+    left = [same[:250], credit, credit[:230].rsplit(" ", 1)[0]]
+    rows = [(i, said(i) + "2\n00:00:03,000 --> 00:00:04,000\n" + x) for i, x in enumerate(taught + left)]
+    df = spark.createDataFrame([(i, "s", t, None, None, None) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in truncated(df).collect()) == [len(taught) + k for k in range(len(left))]
+
+
+def test_sorted_lines_tell_what_all_beginnings_tell(spark, monkeypatch):
+    draw = random.Random(5)
+    line = lambda: "".join(draw.choice(["a", "b", "é", "a\x01", "bb"]) + draw.choice([" ", " ", "  ", ""]) for _ in range(draw.randrange(1, 8))).strip()
+    lines = [line() for _ in range(150)]
+    ends = spark.createDataFrame([(i, draw.choice(["open", "open", "open", "closed"]), draw.choice(lines)) for i in range(900)], "_h long, ending string, _line string")
+    lined = [("line", x, draw.randrange(1, 9), 0) for x in sorted({*draw.sample(lines, 60), *(line() for _ in range(60))})]
+    uses = spark.createDataFrame([("word", "x", 30_000, 0), ("first", "a", 40, 0), *lined], "kind string, key string, uses long, whole long")
+    texts = [(i, "s", "1\n00:00:01,000 --> 00:00:02,000\n" + "I sold it.\n\n" * 30 + draw.choice(lines), None, None, None) for i in range(300)]
+    documents = spark.createDataFrame(texts, SCHEMA)
+    found = {}
+    for longest in (1000, 0, 3):
+        monkeypatch.setattr(truncation, "LONGEST_LINE", longest)
+        told = closing_lines(ends, uses).collect()
+        assert len(told) == len(set(told))
+        found[longest] = ({(r.kind, r.key) for r in told}, {r.doc_id for r in truncated(documents).collect()})
+    assert len({kind for kind, _ in found[1000][0]}) == 2 and found[1000][1]
+    assert found[0] == found[3] == found[1000]
